@@ -8,14 +8,16 @@ about two in ``length``; these are found by a vectorised sliding minimum, and th
 built over them alone (the boundaries of such a node's subtree are such nodes again).
 
 Two texts with a common span of ``length`` characters have, for this span, the same least
-hash, at the same distance from the span's beginning. So an equi-join of nodes on their
-hash, followed by an overlap of their intervals of distances, has every true pair; for verbatim
-spans one hash function is enough, as equal spans agree under each. The pairs are then
-verified on the characters around the nodes.
+hash, at the same distance x from the span's beginning. For verbatim spans one hash function is
+enough, as equal spans agree under each. A span with x beyond the middle also agrees in
+the characters from the node back to the middle's distance, any other in as many after it; so a
+node is indexed by one or two *long* contents rather than by its few characters, each with its
+interval of distances x. An equi-join on these, followed by an overlap of the intervals, has every
+true pair, and little else. The pairs are then verified on the characters around the nodes.
 
-Skew: nodes are kept once per text and content; equal contents in different texts are one
-class, compared once. Hashes with many classes are not paired at all: their spans are grouped
-by their content instead, so only pairs that are results are ever made.
+Skew: equal surroundings in different texts are one class, compared once. Contents with many
+classes are not paired at all: their spans are grouped by their characters instead, so
+only pairs that are results are ever made.
 
 Defined cases: null, empty and shorter texts share nothing; a span within one text only does
 not count; positions and lengths are code points.
@@ -32,10 +34,11 @@ from pyspark.sql import functions as F
 
 from quizlens.session import materialise
 
-GRAM = 32  # characters of a position's hash; a power of two
+GRAM = 16  # characters of a position's hash; a power of two
 SEGMENT = 1 << 20  # longer texts are handled in overlapping segments of so many characters
 BATCH = 1 << 20  # characters that are hashed at once
-DENSE = 48  # classes of a hash from which spans are grouped by content rather than paired
+BROADCAST_KEYS = 500_000  # candidate records up to which the texts are filtered by a broadcast (at most 24 MB)
+DENSE = 48  # classes of a content from which spans are grouped by content rather than paired
 _POSITION_BITS = 22  # of a position within a hashed batch (at most BATCH + SEGMENT characters)
 _EDGE = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -85,12 +88,13 @@ def _subtrees(order: list[int], ends: list[tuple[int, int]], at: list[int]) -> t
 
 
 def compact_windows(codes: np.ndarray, bounds: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
-    """Nodes of all texts of a batch: text number, position c, hash, least and most distance of
-    a span's beginning before c. ``codes`` holds the texts one after another, ``bounds`` their limits."""
+    """Nodes of all texts of a batch: text number, position c, least and most distance of a span's
+    beginning before c, and the hashes of all positions. ``codes`` holds the texts one after
+    another, ``bounds`` their limits."""
     t = length - GRAM + 1
-    none = tuple(np.zeros(0, dtype=d) for d in (np.int64, np.int64, np.uint64, np.int64, np.int64))
+    empty = np.zeros(0, dtype=np.int64)
     if len(codes) < length:
-        return none
+        return empty, empty, empty, empty, empty.view(np.uint64)
     h = _gram_hashes(codes)
     low = np.uint64((1 << _POSITION_BITS) - 1)
     least = _sliding_least((h & ~low) | np.arange(len(h), dtype=np.uint64), t)
@@ -99,7 +103,7 @@ def compact_windows(codes: np.ndarray, bounds: np.ndarray, length: int) -> tuple
     spans = np.maximum(stops - starts - length + 1, 0)  # spans of each text
     text = np.repeat(np.arange(len(starts)), spans)
     if not len(text):
-        return none
+        return empty, empty, empty, empty, h
     begin = np.arange(len(text)) - np.repeat(np.cumsum(spans) - spans, spans) + np.repeat(starts, spans)
     node = node[begin]
     new = np.flatnonzero(np.r_[True, (node[1:] != node[:-1]) | (text[1:] != text[:-1])])
@@ -113,7 +117,31 @@ def compact_windows(codes: np.ndarray, bounds: np.ndarray, length: int) -> tuple
     # spans of the given length within the subtree that contain the node
     most = c - np.maximum(lefts, c - t + 1)
     fewest = c - np.minimum(c, rights - t + 1)
-    return of, c, h[c], fewest, most
+    return of, c, fewest, most, h
+
+
+def _content(h: np.ndarray, at: np.ndarray, width: int, tag: int) -> np.ndarray:
+    """Hash of ``width`` characters from each position, of the hashes of its grams."""
+    out = np.full(len(at), tag, dtype=np.uint64)
+    for k in [*range(0, width - GRAM, GRAM), width - GRAM]:
+        out = out * np.uint64(0x9FB21C651E98DF25) + h[at + k]
+    return _mix(out)
+
+
+def indexed_nodes(codes: np.ndarray, bounds: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
+    """Index entries of a batch: text number, content, position of the node, interval of distances."""
+    of, c, fewest, most, h = compact_windows(codes, bounds, length)
+    half = (length - GRAM + 1) // 2
+    back, ahead = most >= half, fewest < half  # spans with x >= half hold the half before c, others that after it
+    width = half + GRAM
+    content = np.r_[_content(h, c[back] - half, width, 1), _content(h, c[ahead], width, 2)]
+    return (
+        np.r_[of[back], of[ahead]],
+        content,
+        np.r_[c[back], c[ahead]],
+        np.r_[np.maximum(fewest[back], half), fewest[ahead]],
+        np.r_[most[back], np.minimum(most[ahead], half - 1)],
+    )
 
 
 def _segments(texts: list[str | None], length: int) -> Iterator[tuple[list[int], list[int], str, np.ndarray]]:
@@ -136,7 +164,8 @@ def _segments(texts: list[str | None], length: int) -> Iterator[tuple[list[int],
 
 
 def window_nodes(documents: DataFrame, key: str, text: str, length: int) -> DataFrame:
-    """(hash, key, at, fewest, most): the nodes of each text, one pass without a shuffle."""
+    """(hash, key, at): the index entries of each text, one pass without a shuffle. ``at`` packs the
+    node's position and its interval of distances (16 bits each)."""
     kind = documents.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -144,32 +173,32 @@ def window_nodes(documents: DataFrame, key: str, text: str, length: int) -> Data
             keys, texts = batch.column(0), batch.column(1).to_pylist()
             for rows, offsets, chars, bounds in _segments(texts, length):
                 codes = np.frombuffer(chars.encode("utf-32-le"), dtype=np.uint32)
-                of, c, h, fewest, most = compact_windows(codes, bounds, length)
+                of, content, c, fewest, most = indexed_nodes(codes, bounds, length)
                 at = c - bounds[of] + np.array(offsets, dtype=np.int64)[of]
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(h.view(np.int64)),
-                        keys.take(pa.array(np.array(rows, dtype=np.int64)[of])),
-                        pa.array(at.astype(np.int32)),
-                        pa.array(fewest.astype(np.int16)),
-                        pa.array(most.astype(np.int16)),
-                    ],
-                    names=["hash", key, "at", "fewest", "most"],
+                    [pa.array(content.view(np.int64)), keys.take(pa.array(np.array(rows, dtype=np.int64)[of])), pa.array((at << 32) | (fewest << 16) | most)],
+                    names=["hash", key, "at"],
                 )
 
-    return documents.select(F.col(key), F.col(text)).mapInArrow(run, f"hash bigint, `{key}` {kind}, at int, fewest smallint, most smallint")
+    return documents.select(F.col(key), F.col(text)).mapInArrow(run, f"hash bigint, `{key}` {kind}, at bigint")
 
 
 def _candidates(documents: DataFrame, key: str, text: str, length: int) -> DataFrame:
-    """Classes of nodes whose hash occurs in two texts or more: (hash, fewest, most, chars, keys' rows).
+    """Nodes whose content two texts have: (hash, key, fewest, most, chars, begin), written.
 
-    ``chars`` runs from the first span's beginning to the last span's end.
+    ``chars`` runs from the first span's beginning (``begin``) to the last span's end.
     """
+    if length - GRAM >= 1 << 16 or length < 2 * GRAM:
+        raise ValueError(f"the length must be between {2 * GRAM} and {1 << 16}")
     nodes = materialise(window_nodes(documents, key, text, length), "span-nodes")
-    # partial aggregation leaves a row per map task and hash, so a frequent hash is no hot spot
+    # partial aggregation leaves a row per map task and content, so a frequent one is no hot spot
     shared = nodes.groupBy("hash").agg(F.min(key).alias("_a"), F.max(key).alias("_b")).filter("_a <> _b").select("hash")
     near = nodes.join(shared, "hash", "left_semi")
+    near = near.select("hash", key, F.shiftright("at", 32).cast("int").alias("at"), F.expr("cast((at >> 16) & 65535 as int)").alias("fewest"), F.expr("cast(at & 65535 as int)").alias("most"))
+    near = materialise(near, "span-shared")
     texts = documents.select(F.col(key), F.col(text).alias("_text"))
+    if (wanted := near.select(key).distinct()).count() <= BROADCAST_KEYS:
+        texts = texts.join(F.broadcast(wanted), key, "left_semi")
     around = near.join(texts, key).select(
         "hash",
         key,
@@ -178,7 +207,7 @@ def _candidates(documents: DataFrame, key: str, text: str, length: int) -> DataF
         F.expr(f"substring(_text, at - most + 1, most - fewest + {length})").alias("chars"),
         (F.col("at") - F.col("most")).alias("begin"),
     )
-    return around
+    return materialise(around, "span-contents")
 
 
 def _common_extent(a: str, b: str, ia: int, ib: int) -> tuple[int, int]:
@@ -231,6 +260,7 @@ def _classes(around: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
     """(class, hash, fewest, most, chars) and (class, key): equal contents are one class."""
     content = ["hash", "fewest", "most", "chars"]
     named = around.select(key, *content, F.unhex(F.md5(F.concat_ws(" ", *content))).alias("class")).dropDuplicates([key, "class"])
+    named = materialise(named, "span-members")
     members = named.select("class", key)
     classes = named.groupBy("class").agg(*(F.first(c).alias(c) for c in content), F.count(F.lit(1)).alias("size"))
     return classes, members
@@ -238,10 +268,9 @@ def _classes(around: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
 
 def shared_span_pairs(documents: DataFrame, key: str, text: str, length: int = 160, dense: int = DENSE) -> DataFrame:
     """(doc_a, doc_b): pairs of records with a common verbatim span of ``length`` code points or more."""
-    around = materialise(_candidates(documents, key, text, length), "span-contents")
-    classes, members = _classes(around, key)
+    classes, members = _classes(_candidates(documents, key, text, length), key)
     per_hash = classes.groupBy("hash").agg(F.count(F.lit(1)).alias("_classes"))
-    classes = classes.join(per_hash, "hash")
+    classes = materialise(classes.join(per_hash, "hash"), "span-classes")
 
     sparse = classes.filter(F.col("_classes").between(2, dense))
     a = sparse.select("hash", *(F.col(c).alias(f"{'a_' if c != 'class' else ''}{c if c != 'class' else 'class_a'}") for c in ("class", "fewest", "most", "chars")))
