@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-_BUCKETS = 1 << 10
-
 
 def sample_key(seed: int, item_id: Column) -> Column:
     """A random rank of an item that depends on the seed and its id alone."""
