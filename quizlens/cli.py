@@ -7,6 +7,7 @@ import importlib
 import sys
 from pathlib import Path
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import SparkSession
 
 from quizlens.model import AuditConfig, Gate
@@ -134,7 +135,7 @@ def main(argv: list[str] | None = None) -> int:
     args = parser().parse_args(argv)
     try:
         args.run(args)
-    except (ValueError, FileNotFoundError, ImportError) as error:
-        print(f"quizlens: {error}", file=sys.stderr)
+    except (ValueError, FileNotFoundError, ImportError, AnalysisException) as error:  # the last: a path that does not exist
+        print(f"quizlens: {str(error).splitlines()[0]}", file=sys.stderr)
         return 2
     return 0

@@ -7,12 +7,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quizlens import stats
 from quizlens.functions import statistics as st
 from quizlens.functions import text as tx
+from quizlens.model import AuditConfig, Gate
 from quizlens.operators import detectors as dt
 from quizlens.operators import duplicates as du
 from quizlens.operators import interventions as iv
@@ -717,3 +718,28 @@ def p4_found(spark, sf_dir):
 def p4_items(spark, sf_dir):
     """(row_id, ind, activity_label, ctx, endings, label): rows of hswag_lines that load."""
     return rejects.loaded(table(spark, sf_dir, "hswag_lines"))
+
+
+# -- composites: their resampled intervals have no SQL -----------------------------------------------
+
+
+@query("SELECT pos, bit_count((pos % 8)::INT)::INT AS players FROM items")
+def sc30_popcount(spark, sf_dir):
+    return table(spark, sf_dir, "items").select("pos", F.bit_count((F.col("pos") % 8).cast("int")).alias("players"))
+
+
+@query()
+def dt6_findings(spark, sf_dir):
+    """(detector, point, ci_low, ci_high, p_value, adjusted_p, verdict, mde, detail): the corpus layer over all items."""
+    report = dt.run_detectors(corpus(spark, sf_dir), SEED, Gate())
+    rows = [(f.detector, f.estimate.point, f.estimate.ci_low, f.estimate.ci_high, f.estimate.p_value, f.adjusted_p, f.verdict.value, f.mde, f.detail) for f in report.findings]
+    return spark.createDataFrame(rows, "detector string, point double, ci_low double, ci_high double, p_value double, adjusted_p double, verdict string, mde double, detail string")
+
+
+@query()
+def au6_components(spark, sf_dir):
+    """(part, point, ci_low, ci_high, p_value, verdict): the attribution of a simulated model's drop over all items, and its blind score."""
+    report = au.run_audit(corpus(spark, sf_dir), "items", scoring.SimulatedScorer(SIMULATION), AuditConfig(SEED, Gate(draws=2000), corpus_layer=False))
+    rows = [(c.name, c.estimate, c.verdict.value) for c in report.components] + [("blind", report.blind_accuracy, None)]
+    flat = [(n, e.point, e.ci_low, e.ci_high, e.p_value, v) for n, e, v in rows]
+    return spark.createDataFrame(flat, "part string, point double, ci_low double, ci_high double, p_value double, verdict string")
