@@ -26,6 +26,7 @@ not count; positions and lengths are code points.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -239,54 +240,60 @@ def _common_extent(a: str, b: str, ia: int, ib: int) -> tuple[int, int]:
 
 
 def _verified(pairs: DataFrame, length: int) -> DataFrame:
-    """Pairs of classes that share a span of ``length`` characters around their node."""
+    """(class_a, class_b, a_from, a_to, b_from, b_to): pairs of classes that share a span of ``length`` characters
+    around their node, and the shared part of each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
-            for am, ac, bm, bc in zip(*(batch.column(i).to_pylist() for i in (3, 4, 6, 7))):
+            keep, found = [], []
+            for i, (am, ac, bm, bc) in enumerate(zip(*(batch.column(c).to_pylist() for c in range(2, 6)))):
                 before, after = _common_extent(ac, bc, am, bm)
-                keep.append(before + after >= length)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).filter(pa.array(keep)), batch.column(1).filter(pa.array(keep))], names=["class_a", "class_b"]
-            )
-
-    return pairs.select("class_a", "class_b", "a_fewest", "a_most", "a_chars", "b_fewest", "b_most", "b_chars").mapInArrow(
-        run, "class_a binary, class_b binary"
+                if before + after >= length:
+                    keep.append(i)
+                    found.append((am - before, am + after, bm - before, bm + after))
+            take = pa.array(keep, type=pa.int64())
+            ends = [pa.array([f[k] for f in found], type=pa.int32()) for k in range(4)]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), *ends], names=["class_a", "class_b", "a_from", "a_to", "b_from", "b_to"])
+
+    return pairs.select("class_a", "class_b", "a_most", "a_chars", "b_most", "b_chars").mapInArrow(
+        run, "class_a binary, class_b binary, a_from int, a_to int, b_from int, b_to int"
     )
 
 
 def _classes(around: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
-    """(class, hash, fewest, most, chars) and (class, key): equal contents are one class."""
+    """Equal contents are one class: (class, hash, fewest, most, chars, low, high, alike) with the least and greatest key
+    and the number of classes of the content's hash; and the members (class, key, begin)."""
     content = ["hash", "fewest", "most", "chars"]
-    named = around.select(key, *content, F.unhex(F.md5(F.concat_ws(" ", *content))).alias("class")).dropDuplicates([key, "class"])
-    named = materialise(named, "span-members")
-    members = named.select("class", key)
-    classes = named.groupBy("class").agg(*(F.first(c).alias(c) for c in content), F.count(F.lit(1)).alias("size"))
-    return classes, members
+    named = around.withColumn("class", F.unhex(F.md5(F.concat_ws(" ", *content))))
+    classes = named.groupBy("class").agg(*(F.first(c).alias(c) for c in content), F.min(key).alias("low"), F.max(key).alias("high"))
+    alike = classes.groupBy("hash").agg(F.count(F.lit(1)).alias("alike"))
+    return materialise(classes.join(alike, "hash"), "span-classes"), named.select("class", key, "begin")
+
+
+def _sparse_links(classes: DataFrame, length: int, dense: int) -> DataFrame:
+    """Verified pairs of the classes of hashes that few classes have."""
+    sparse = classes.filter(F.col("alike").between(2, dense))
+    a = sparse.select("hash", F.col("class").alias("class_a"), *(F.col(c).alias(f"a_{c}") for c in ("fewest", "most", "chars")))
+    b = sparse.select("hash", F.col("class").alias("class_b"), *(F.col(c).alias(f"b_{c}") for c in ("fewest", "most", "chars")))
+    pairs = a.join(b, "hash").filter("class_a < class_b and a_fewest <= b_most and b_fewest <= a_most")
+    return _verified(pairs, length)
 
 
 def shared_span_pairs(documents: DataFrame, key: str, text: str, length: int = 160, dense: int = DENSE) -> DataFrame:
     """(doc_a, doc_b): pairs of records with a common verbatim span of ``length`` code points or more."""
     classes, members = _classes(_candidates(documents, key, text, length), key)
-    per_hash = classes.groupBy("hash").agg(F.count(F.lit(1)).alias("_classes"))
-    classes = materialise(classes.join(per_hash, "hash"), "span-classes")
+    members = materialise(members.select("class", key).distinct(), "span-members")
 
-    sparse = classes.filter(F.col("_classes").between(2, dense))
-    a = sparse.select("hash", *(F.col(c).alias(f"{'a_' if c != 'class' else ''}{c if c != 'class' else 'class_a'}") for c in ("class", "fewest", "most", "chars")))
-    b = sparse.select("hash", *(F.col(c).alias(f"{'b_' if c != 'class' else ''}{c if c != 'class' else 'class_b'}") for c in ("class", "fewest", "most", "chars")))
-    pairs = a.join(b, "hash").filter("class_a < class_b and a_fewest <= b_most and b_fewest <= a_most")
-    linked = _verified(pairs, length).distinct()
+    linked = _sparse_links(classes, length, dense).select("class_a", "class_b").distinct()
     left = members.select(F.col("class").alias("class_a"), F.col(key).alias("_a"))
     right = members.select(F.col("class").alias("class_b"), F.col(key).alias("_b"))
     between = linked.join(left, "class_a").join(right, "class_b").select("_a", "_b")
 
-    several = classes.filter("size > 1").select("class")
-    inside = members.join(several, "class", "left_semi")
+    inside = members.join(classes.filter("low <> high").select("class"), "class", "left_semi")
     within = inside.select("class", F.col(key).alias("_a")).join(inside.select("class", F.col(key).alias("_b")), "class").filter("_a < _b").select("_a", "_b")
 
     # many classes of one hash: by the span's content, which only true pairs share
-    crowded = classes.filter(F.col("_classes") > dense).select("class", F.explode(_span_keys(length)).alias("span")).distinct()
+    crowded = classes.filter(F.col("alike") > dense).select("class", F.explode(_span_keys(length)).alias("span")).distinct()
     spans = crowded.join(members, "class").select("span", F.col(key).alias("_a")).distinct()
     dense_pairs = spans.join(spans.select("span", F.col("_a").alias("_b")), "span").filter("_a < _b").select("_a", "_b")
 
@@ -299,25 +306,30 @@ def _span_keys(length: int):
     return F.expr(f"transform(sequence(0, most - fewest), i -> unhex(md5(substring(chars, i + 1, {length}))))")
 
 
-def shared_coverage(documents: DataFrame, key: str, text: str, length: int = 160) -> DataFrame:
+def shared_coverage(documents: DataFrame, key: str, text: str, length: int = 160, dense: int = DENSE) -> DataFrame:
     """(key, n_chars, shared_chars, share): how much of each record lies in spans that another record has too.
 
-    Only group-bys: a span is shared if its content occurs in two records; the shared
-    characters are the union of such spans. Records that are null or empty have share 0.
+    The shared parts of classes, from verified pairs and from groups of equal contents, are laid over
+    the records that have them; what they cover together is counted. Pairs of records are never
+    made. Records that are null or empty have share 0.
     """
-    around = _candidates(documents, key, text, length)
-    begins = materialise(
-        around.select(key, F.posexplode(_span_keys(length)).alias("_i", "span"), "begin").select(key, "span", (F.col("begin") + F.col("_i")).cast("int").alias("begin")),
-        "span-begins",
-    )
-    shared = begins.groupBy("span").agg(F.min(key).alias("_a"), F.max(key).alias("_b")).filter("_a <> _b").select("span")
-    hits = begins.join(shared, "span", "left_semi").select(key, "begin").distinct()
-    order = Window.partitionBy(key).orderBy("begin")
-    covered = (
-        hits.withColumn("_next", F.lead("begin").over(order))
-        .groupBy(key)
-        .agg(F.sum(F.least(F.coalesce(F.col("_next") - F.col("begin"), F.lit(length)), F.lit(length))).alias("shared_chars"))
-    )
+    classes, members = _classes(_candidates(documents, key, text, length), key)
+    other = classes.select(F.col("class").alias("_o"), "low", "high")
+    links = materialise(_sparse_links(classes, length, dense), "span-links")
+    ways = (("class_a", "a_from", "a_to", "class_b"), ("class_b", "b_from", "b_to", "class_a"))
+    parts = [links.select(F.col(c).alias("class"), F.col(f).alias("from"), F.col(t).alias("to"), F.col(o).alias("_o")).join(other, "_o").drop("_o") for c, f, t, o in ways]
+    parts.append(classes.filter("low <> high").select("class", F.lit(0).alias("from"), F.length("chars").alias("to"), "low", "high"))
+    spread = classes.filter(F.col("alike") > dense).select("class", "low", "high", F.posexplode(_span_keys(length)).alias("from", "span"))
+    spread = materialise(spread, "span-keys")
+    common = spread.groupBy("span").agg(F.min("low").alias("_l"), F.max("high").alias("_h")).filter("_l <> _h")
+    parts.append(spread.drop("low", "high").join(common, "span").select("class", "from", (F.col("from") + length).alias("to"), F.col("_l").alias("low"), F.col("_h").alias("high")))
+    shared = reduce(DataFrame.unionByName, parts)
+    # a class that only the record itself has is not shared elsewhere
+    laid = members.join(shared, "class").filter(~((F.col("low") == F.col("high")) & (F.col("low") == F.col(key))))
+    laid = laid.select(key, (F.col("begin") + F.col("from")).alias("from"), (F.col("begin") + F.col("to")).alias("to")).distinct()
+    order = Window.partitionBy(key).orderBy("from", "to")
+    reached = F.coalesce(F.max("to").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    covered = laid.withColumn("_new", F.greatest(F.lit(0), F.col("to") - F.greatest("from", reached))).groupBy(key).agg(F.sum("_new").alias("shared_chars"))
     return (
         documents.select(F.col(key), F.coalesce(F.length(text), F.lit(0)).cast("bigint").alias("n_chars"))
         .join(covered, key, "left")
