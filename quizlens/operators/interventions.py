@@ -122,17 +122,17 @@ def stronger_distractor(items: DataFrame, seed: int) -> DataFrame:
     return with_distractor(with_normal(items), seed).withColumn("choices", F.col("distracted")).drop("distracted", "ndistracted", "nq", "nc")
 
 
-def coalitions(items: DataFrame, seed: int, players: Sequence[str] = PLAYERS) -> DataFrame:
+def coalitions(items: DataFrame, seed: int, players: Sequence[str] = PLAYERS, carry: Sequence[str] = ()) -> DataFrame:
     """Every item under every subset of the players: pos, mask, variant, question, choices, answer_index, the normal
     forms nq and nc, and those of the original item, nq0 and nc0, with its key a0.
 
-    Bit i of the mask stands for player i. Normal forms are made once per item and rewritten
+    Bit i of the mask stands for player i; columns in ``carry`` are kept. Normal forms are made once per item and rewritten
     alongside: each rewriting maps normal forms to normal forms.
     """
     for name in players:
         if name not in ORDER:
             raise ValueError(f"unknown intervention {name!r}")
-    rows = with_normal(items.select("pos", F.coalesce("question", F.lit("")).alias("question"), "choices", "answer_index", "subject"))
+    rows = with_normal(items.select("pos", F.coalesce("question", F.lit("")).alias("question"), "choices", "answer_index", "subject", *carry))
     if "stronger_distractor" in players:
         rows = with_distractor(rows, seed)
     else:

@@ -50,10 +50,11 @@ def outcomes(variants: DataFrame, scorer: Scorer) -> DataFrame:
     """
     rows = variants.withColumn("prompt", prompt_digest(scorer.scorer_id, F.col("nq"), F.col("nc")))
     if isinstance(scorer, SimulatedScorer):
-        # the simulation is an expression of the row itself, so rows need not meet to be scored
-        rows = rows.withColumn("winner", scorer.winner())
+        # the simulation is an expression of the row itself, so texts need not be shuffled to be scored
+        rows = rows.select("pos", "mask", "variant", "answer_index", F.unhex(F.substring("prompt", 8, 64)).alias("prompt"), scorer.winner().alias("winner"))
+        rows = materialise(rows, "choices-made")
         first = rows.groupBy("prompt").agg(F.min(F.struct("mask", "pos", "variant", "winner"))["winner"].alias("_first"))
-        done = rows.select("pos", "mask", "variant", "answer_index", "prompt").join(first, "prompt")
+        done = rows.drop("winner").join(first, "prompt")
         return done.select("pos", "mask", "variant", "prompt", (F.col("_first") == F.col("answer_index")).cast("int").alias("correct"))
     shown = F.struct("question", "choices", "nq", "nc")
     prompts = rows.groupBy("prompt").agg(F.min_by(shown, F.struct("mask", "pos", "variant")).alias("p")).select("prompt", "p.*")
@@ -116,9 +117,13 @@ class SimulatedScorer:
         s = self.simulation
         return f"simulated[{s.label};position={s.favoured_position};seed={s.seed}]"
 
+    def latents(self) -> Column:
+        """An item's six uniform numbers; made once per item, not per variant."""
+        return F.array(*(uniform(self.simulation.seed, "simulated", F.col("pos"), slot) for slot in range(6)))
+
     def winner(self) -> Column:
         s = self.simulation
-        u = lambda slot: uniform(s.seed, "simulated", F.col("pos"), slot)
+        u = lambda slot: F.get("latents", slot)
         q, q0, c, c0 = (F.col(x) for x in ("nq", "nq0", "nc", "nc0"))
         answer = F.element_at(c0, F.col("a0") + 1)
         at = F.array_position(c, answer).cast("int") - 1
@@ -137,7 +142,7 @@ class SimulatedScorer:
     def score(self, presented: DataFrame) -> DataFrame:
         """(prompt, scores): 1 for the chosen option, 0 for the others."""
         one_hot = F.transform(F.sequence(F.lit(0), F.size("choices") - 1), lambda j: F.when(j == F.col("_w"), 1.0).otherwise(0.0))
-        return presented.withColumn("_w", self.winner()).select("prompt", one_hot.alias("scores"))
+        return presented.withColumn("latents", self.latents()).withColumn("_w", self.winner()).select("prompt", one_hot.alias("scores"))
 
 
 # -- external scorers ------------------------------------------------------------------------------

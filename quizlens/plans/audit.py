@@ -22,7 +22,7 @@ from quizlens.functions.text import item_digest, with_normal
 from quizlens.model import AuditConfig, AuditReport, Component, CorpusReport, Estimate, Gate, Manifest, Verdict, decide
 from quizlens.operators.detectors import Detector, run_detectors
 from quizlens.operators.interventions import DESCRIPTIONS, PLAYERS, coalitions
-from quizlens.operators.scoring import Scorer, outcomes
+from quizlens.operators.scoring import Scorer, SimulatedScorer, outcomes
 from quizlens.session import materialise
 
 _RANGE = 100_000  # positions that are folded together for the corpus hash
@@ -30,6 +30,8 @@ _RANGE = 100_000  # positions that are folded together for the corpus hash
 
 def presented(items: DataFrame, scorer: Scorer, seed: int, players: Sequence[str] = PLAYERS) -> DataFrame:
     """(pos, mask, variant, prompt, correct): the scored outcome of every variant of every coalition."""
+    if isinstance(scorer, SimulatedScorer):
+        return outcomes(coalitions(items.withColumn("latents", scorer.latents()), seed, players, ["latents"]), scorer)
     return outcomes(coalitions(items, seed, players), scorer)
 
 
@@ -77,12 +79,15 @@ def inert_flags(by_item: DataFrame, players: Sequence[str] = PLAYERS) -> DataFra
     return patterns.agg(F.array(*same).alias("all")).select(F.explode("all").alias("s")).select("s.player", "s.inert")
 
 
-def blind_variants(items: DataFrame) -> DataFrame:
-    """Each item shown (mask 0) and with its question withheld (mask 1)."""
-    rows = with_normal(items.select("pos", F.coalesce("question", F.lit("")).alias("question"), "choices", "answer_index"))
+def blind_outcomes(items: DataFrame, scorer: Scorer) -> DataFrame:
+    """(pos, mask, variant, prompt, correct): each item shown (mask 0) and with its question withheld (mask 1)."""
+    carry = []
+    if isinstance(scorer, SimulatedScorer):
+        items, carry = items.withColumn("latents", scorer.latents()), ["latents"]
+    rows = with_normal(items.select("pos", F.coalesce("question", F.lit("")).alias("question"), "choices", "answer_index", *carry))
     rows = rows.withColumns({"nq0": F.col("nq"), "nc0": F.col("nc"), "a0": F.col("answer_index"), "variant": F.lit(-1), "mask": F.explode(F.array(F.lit(0), F.lit(1)))})
     shown = lambda q: F.when(F.col("mask") == 0, F.col(q)).otherwise("")
-    return rows.withColumns({"question": shown("question"), "nq": shown("nq")})
+    return outcomes(rows.withColumns({"question": shown("question"), "nq": shown("nq")}), scorer)
 
 
 def paired_cells(by_item: DataFrame, control: int = 0, treatment: int = 1) -> DataFrame:
@@ -159,7 +164,7 @@ def attributed(patterns: np.ndarray, counts: np.ndarray, players: Sequence[str],
 
 def blind_estimate(items: DataFrame, scorer: Scorer, gate: Gate, rng: np.random.Generator) -> Estimate:
     """Accuracy without the question; p compares it with the shown items, paired."""
-    cells = paired_cells(coalition_outcomes(outcomes(blind_variants(items), scorer))).first()
+    cells = paired_cells(coalition_outcomes(blind_outcomes(items, scorer))).first()
     n, hits = cells["n"], cells["both"] + cells["treatment_only"]
     values, counts = np.array([0.0, 1.0]), np.array([n - hits, hits])
     replicates = stats.resampled_means(rng, values, counts, gate.draws)

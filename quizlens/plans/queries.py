@@ -682,8 +682,7 @@ _BLIND = (
          count(*) FILTER (c = 0 AND t = 0) AS neither, round((count(*) FILTER (c = 0 AND t = 1) - count(*) FILTER (c = 1 AND t = 0))::DOUBLE / count(*), 9) AS delta FROM w"""
 )
 def ag16_paired_cells(spark, sf_dir):
-    outcomes = scoring.outcomes(au.blind_variants(corpus(spark, sf_dir)), scoring.SimulatedScorer(SIMULATION))
-    return au.paired_cells(au.coalition_outcomes(outcomes))
+    return au.paired_cells(au.coalition_outcomes(au.blind_outcomes(corpus(spark, sf_dir), scoring.SimulatedScorer(SIMULATION))))
 
 
 @query(

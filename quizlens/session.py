@@ -7,7 +7,6 @@ import os
 import tempfile
 import uuid
 
-from pyspark import StorageLevel  # noqa: F401  (re-exported for callers)
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -29,9 +28,20 @@ def local_session(cores: int | str = 8, shuffle_partitions: int = 8, **conf: str
     return builder.getOrCreate()
 
 
+SMALL_TABLE = 256 << 20  # bytes up to which a table in few files is spread over the cores
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One of the parquet tables of a data folder."""
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """One of the parquet tables of a data folder.
+
+    A row group is read by one task, so a small table in fewer files than there are cores would occupy few of them; it
+    is spread by one bounded shuffle. Larger tables, or those in many files, are left as they are.
+    """
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    if len(df._jdf.inputFiles()) < cores and df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() <= SMALL_TABLE:
+        return df.repartition(cores)
+    return df
 
 
 def shared_dir(spark: SparkSession) -> str:
