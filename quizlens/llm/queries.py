@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from quizlens.llm import bpe, distinct, formatting, near, nested, packing, quota, spans, visual
 from quizlens.session import table
