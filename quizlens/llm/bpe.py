@@ -221,6 +221,8 @@ class Encoder:
             if pieces:
                 out.extend(map(get, pieces))
                 held = held[len(held) - kept :]
+            else:
+                block *= 2  # one pre-token fills the block; doubling keeps the cost linear
         out.extend(map(get, find(held)))
         return b"".join(out)
 
