@@ -191,6 +191,19 @@ def oracle_sql() -> dict[str, str]:
         "p6_scores": _TERMS
         + f"""SELECT pos, term, tf, df, round(CASE WHEN df > 1 THEN greatest(log2(tf * z / (total * pow(n, {distinct.ALPHA}))), 0.0) ELSE 0.0 END, 6) AS score
             FROM j JOIN s USING (term) JOIN n USING (pos) CROSS JOIN z""",
+        "p7_found": r"""
+            WITH t AS (
+              SELECT pos, list_concat(regexp_extract_all(lower(coalesce(question, '')), '[a-z0-9]+(?:[-''][a-z0-9]+)*'),
+                flatten(list_transform(choices, lambda x: regexp_extract_all(lower(x), '[a-z0-9]+(?:[-''][a-z0-9]+)*')))) AS t FROM items
+            ), s AS (SELECT pos, list_distinct(list_transform(range(1, len(t) - 1), lambda i: array_to_string(t[i:i+2], ' '))) AS s FROM t WHERE len(t) >= 3),
+            p AS (SELECT pos, len(s) AS n, unnest(s) AS shingle FROM s),
+            i AS (SELECT a.pos AS pos_a, b.pos AS pos_b, a.n AS na, b.n AS nb, count(*) AS c FROM p a JOIN p b ON a.shingle = b.shingle AND a.pos < b.pos GROUP BY ALL)
+            SELECT pos_a, pos_b FROM i WHERE 10 * c >= 7 * (na + nb - c)""",
+        "p10_found": """
+            WITH g AS (SELECT doc_id, text, unnest(range(1, length(text) - 158)) AS i FROM documents WHERE length(text) >= 160),
+            h AS (SELECT DISTINCT doc_id, md5(substring(text, i, 160)) AS h FROM g),
+            m AS (SELECT h FROM h GROUP BY h HAVING count(*) > 1), k AS (SELECT h.* FROM h JOIN m USING (h))
+            SELECT DISTINCT a.doc_id AS doc_a, b.doc_id AS doc_b FROM k a JOIN k b ON a.h = b.h AND a.doc_id < b.doc_id""",
         # the round trip through the ids gives the text back; null and empty give an empty text
         "p8_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
     }
