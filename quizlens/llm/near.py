@@ -3,23 +3,36 @@
 A record is the set of its runs of ``width`` successive tokens (shingles). Two records match
 if their sets' Jaccard similarity reaches ``num/den``.
 
-1. A sketch of bounded size counts all shingles of all records. Its counts never fall short
-   of the true ones, so a shingle counted once is unique, and one counted at most ``RARE``
-   times joins at most so many records.
-2. All shingles are put in one global order, rare ones first. A record can lack at most
+1. A sketch of bounded size counts all shingles of all records. Its counts never fall short of the
+   true ones. Each task counts its own records and hands on the counters it used; these are added
+   up as a stream in two rounds of at most FAN_IN parts, so no task holds more than one block of
+   counters, whatever the number of tasks. Counters are wide while they are added and are kept as levels,
+   exact up to 32 and logarithmic beyond, so they still tell frequent shingles from rare ones when
+   every counter is shared by many shingles.
+2. Records with equal sets are one class. Only its representative, the one with the least key, is indexed.
+3. All shingles are put in one global order, rare ones first. A record can lack at most
    e = n - ceil(n * num / den) of its n shingles in a partner. Its prefix is *extended* until
-   its capacity reaches e + LINKS: a rare shingle counts 1; the frequent ones are divided into
-   CLASSES by their hash, and m of one class count m - 1. The index holds the rare shingles of
+   its capacity reaches e + links: a rare shingle counts 1; the frequent ones are divided into
+   classes by their hash, and m of one class count m - 1. The index holds the rare shingles of
    the prefix singly and the *pairs* of frequent ones of one class. A partner lacks at most e
-   shingles and each lowers the capacity by at most 1, so true pairs share at least LINKS
-   entries. Unique shingles count but are not indexed; a record left with fewer than LINKS
-   entries has no partner.
-   Records too small for that capacity, and those that can be their partners, are also
-   indexed singly by the plain prefix.
-3. Records that share enough entries are verified on their whole sets.
-
-Copies (equal token sequences) collapse to one representative before anything is indexed, with a
-partial aggregation, so a group of copies of any size costs one record.
+   shingles and each lowers the capacity by at most 1, so true pairs share at least ``links``
+   entries. Unique shingles count but are not indexed; a record left with fewer entries has no partner.
+   Records too small for that capacity, and those that can be their partners, also have *plain*
+   entries, of which one is enough: the shingles of the first e + 1 that are not frequent,
+   and pairs within two classes of the frequent ones among the first e + 3. If the first common
+   shingle is frequent then so are the second and third, and two of three are in one class.
+4. An entry that more than ``hot`` representatives have is not joined. Of a record's hot entries the
+   pairs are indexed instead: a pair of records that shares three entries shares one that is
+   not hot or two that are. Plain entries are combinations already and are joined in any case, by a
+   join that splits its largest partitions.
+5. Records that share enough entries are verified on their whole sets.
+
+Sketch at scale: 2**sketch_bits counters over D shingles add about D / 2**sketch_bits to each count.
+While that is below ``rare``, unique shingles are left out; beyond it more of the shingles count as
+frequent and a record has up to twice the entries, but the order by frequency stays.
+
+Sizes that are broadcast or reach the driver: the sketch, 2**sketch_bits bytes, and the keys of candidate
+records up to BROADCAST_KEYS. Both are bounded; beyond the latter the same join shuffles.
 
 Defined cases: null parts count as absent; a record with fewer tokens than ``width`` has no
 shingle and no partner; rows with a null key are left out.
@@ -30,29 +43,42 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quizlens.operators.components import connected_components
-from quizlens.session import materialise
+from quizlens.session import materialise, release
 
 TOKENS = re.compile(r"[a-z0-9]+(?:[-'][a-z0-9]+)*").findall  # fixed value: the tokens of the task
 
-SKETCH_BITS = 24  # counters of the sketch: one byte each, whatever the size of the data
-_BLOCK_BITS = 16  # counters of a block of the sketch
-RARE = 4  # a shingle counted at most so often is indexed singly
-CLASSES = 8  # classes of the frequent shingles; a power of two
-LINKS = 3  # entries that a pair must share
 BROADCAST_KEYS = 500_000  # candidate keys up to which the records are filtered by a broadcast (at most 24 MB)
+FAN_IN = 1024  # parts of the sketch that one task adds up
+_BLOCK_BITS = 11  # counters of a block of the sketch
+_BLOCKS_AT_ONCE = 256
+_EXACT_LEVEL = 32
 _FLUSH = 1 << 22
 _TOKEN_MEMO = 1 << 18
 _HASH_BITS = 50  # of a shingle's hash; two of a pair of records are confused once in 10^11 pairs
 _ROWS = 1 << (64 - _HASH_BITS)  # records that are sorted at once
 
 
+@dataclass(frozen=True)
+class Index:
+    """Parameters of the index; results do not depend on them."""
+
+    sketch_bits: int = 24  # counters of the sketch, one byte each once added up
+    rare: int = 4  # a shingle counted at most so often is indexed singly
+    single: int = 64  # the same for plain entries
+    classes: int = 8  # classes of the frequent shingles; a power of two
+    links: int = 3  # entries that a pair must share
+    hot: int = 256  # representatives of an entry up to which they are joined by it
+
+
 class _TokenIds(dict):
     """Token to a 64-bit number; bounded."""
 
@@ -101,44 +127,103 @@ def shingle_batch(texts: list[str | None], width: int, ids: dict) -> tuple[np.nd
     return (both >> np.uint64(_HASH_BITS)).astype(np.int64), both << np.uint64(64 - _HASH_BITS)
 
 
-def _slot(h: np.ndarray) -> np.ndarray:
-    return (h >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
+def shingle_set_digests(row: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, pa.Array]:
+    """Row numbers that have shingles, and a 128-bit digest of each one's set."""
+    rows, at = np.unique(row, return_index=True)
+    if not len(rows):
+        return rows, pa.array([], type=pa.binary())
+    sums = [np.add.reduceat(_mix(h * np.uint64(k) + np.uint64(k >> 7)), at) for k in (0x9E6C63D0676A9A99, 0xE2C6F0B5D1A4F38B)]
+    data = np.column_stack(sums).astype("<u8").tobytes()
+    offsets = np.arange(0, 16 * len(rows) + 1, 16, dtype=np.int32)
+    return rows, pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
+
+
+def _slot(h: np.ndarray, bits: int) -> np.ndarray:
+    return (h >> np.uint64(64 - bits)).astype(np.int64)
+
+
+def levels(counts: np.ndarray) -> np.ndarray:
+    """Counts in one byte each: exact up to 32, then eight steps for each doubling."""
+    c = np.maximum(counts, 1).astype(np.float64)
+    grown = _EXACT_LEVEL + np.floor(8 * np.log2(c / _EXACT_LEVEL))
+    return np.where(counts <= _EXACT_LEVEL, counts, np.minimum(grown, 255)).astype(np.uint8)
+
+
+def _packed_block(block: np.ndarray) -> tuple[bytes, bytes]:
+    """Places and counts of the used counters; a count beyond a byte takes several entries."""
+    at = np.flatnonzero(block)
+    n = block[at].astype(np.int64)
+    times = (n + 254) // 255
+    last = np.cumsum(times) - 1
+    parts = np.full(int(times.sum()), 255, dtype=np.uint8)
+    parts[last] = n - 255 * (times - 1)
+    return np.repeat(at, times).astype("<u2").tobytes(), parts.tobytes()
+
 
+def _added(batches: Iterator[pa.RecordBatch], width: int, names: tuple[str, ...], pack) -> Iterator[pa.RecordBatch]:
+    """Sums of parts that arrive in order of their ``width`` leading key columns, one sum in memory at a time."""
+    total, last, rows = np.zeros(1 << _BLOCK_BITS, dtype=np.uint64), None, []
 
-def shingle_sketch(records: DataFrame, text: str, width: int) -> np.ndarray:
-    """Counts of all shingles of all records, as 2**SKETCH_BITS saturating bytes."""
+    def flushed() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, type=pa.int32() if i < width else pa.binary()) for i, c in enumerate(zip(*rows))], names=list(names))
+
+    for batch in batches:
+        keys = list(zip(*(batch.column(i).to_pylist() for i in range(width))))
+        for key, at, n in zip(keys, batch.column(width), batch.column(width + 1)):
+            if key != last:
+                if last is not None:
+                    rows.append((*last, *pack(total)))
+                    if len(rows) >= _BLOCKS_AT_ONCE:
+                        yield flushed()
+                        rows.clear()
+                total[:] = 0
+                last = key
+            np.add.at(total, np.frombuffer(at.as_buffer(), dtype="<u2"), np.frombuffer(n.as_buffer(), dtype=np.uint8))
+    if last is not None:
+        rows.append((*last, *pack(total)))
+        yield flushed()
+
+
+def shingle_sketch(records: DataFrame, text: str, width: int, bits: int) -> np.ndarray:
+    """Levels of the counts of all shingles of all records, 2**bits bytes."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, sketch, held, size = _TokenIds(), np.zeros(1 << SKETCH_BITS, dtype=np.uint8), [], 0
+        ids, sketch, held, size = _TokenIds(), np.zeros(1 << bits, dtype=np.uint32), [], 0
 
         def flush() -> None:
             slot, n = np.unique(np.concatenate(held), return_counts=True)
-            sketch[slot] = np.minimum(sketch[slot].astype(np.int64) + n, 255).astype(np.uint8)
+            sketch[slot] += n.astype(np.uint32)
 
         for batch in batches:
             _, h = shingle_batch(batch.column(0).to_pylist(), width, ids)
-            held.append(_slot(h).astype(np.uint32))
+            held.append(_slot(h, bits).astype(np.uint32))
             size += len(h)
             if size > _FLUSH:
                 flush()
                 held, size = [], 0
         if size:
             flush()
+        team = TaskContext.get().partitionId() // FAN_IN
         blocks = sketch.reshape(-1, 1 << _BLOCK_BITS)
-        used = np.flatnonzero(blocks.any(axis=1))
-        for i in used:
-            yield pa.RecordBatch.from_arrays([pa.array([int(i)], type=pa.int32()), pa.array([blocks[i].tobytes()])], names=["block", "counts"])
-
-    def add(tables: pa.Table) -> pa.Table:
-        total = np.zeros(1 << _BLOCK_BITS, dtype=np.uint8)
-        for part in tables.column("counts").to_pylist():
-            total = np.minimum(total.astype(np.uint16) + np.frombuffer(part, dtype=np.uint8), 255).astype(np.uint8)
-        return pa.table({"block": tables.column("block")[:1], "counts": pa.array([total.tobytes()])})
-
-    parts = records.select(text).mapInArrow(count, "block int, counts binary").groupBy("block").applyInArrow(add, "block int, counts binary")
-    sketch = np.zeros((1 << (SKETCH_BITS - _BLOCK_BITS), 1 << _BLOCK_BITS), dtype=np.uint8)
-    for r in parts.toLocalIterator():  # 2**SKETCH_BITS bytes in all
-        sketch[r["block"]] = np.frombuffer(r["counts"], dtype=np.uint8)
+        for start in range(0, len(blocks), _BLOCKS_AT_ONCE):
+            used = [i for i in range(start, min(start + _BLOCKS_AT_ONCE, len(blocks))) if blocks[i].any()]
+            if used:
+                at, n = zip(*(_packed_block(blocks[i]) for i in used))
+                kinds = (pa.int32(), pa.int32(), pa.binary(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip((used, [team] * len(used), at, n), kinds)], names=["block", "team", "at", "n"])
+
+    def teams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _added(batches, 2, ("block", "team", "at", "n"), _packed_block)
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _added(batches, 1, ("block", "level"), lambda total: (levels(total).tobytes(),))
+
+    parts = records.select(text).mapInArrow(count, "block int, team int, at binary, n binary")
+    parts = parts.repartition("block", "team").sortWithinPartitions("block", "team").mapInArrow(teams, parts.schema)
+    sums = parts.drop("team").repartition("block").sortWithinPartitions("block").mapInArrow(whole, "block int, level binary")
+    sketch = np.zeros((1 << (bits - _BLOCK_BITS), 1 << _BLOCK_BITS), dtype=np.uint8)
+    for r in sums.collect():  # 2**bits bytes in all
+        sketch[r["block"]] = np.frombuffer(r["level"], dtype=np.uint8)
     return sketch.ravel()
 
 
@@ -154,58 +239,75 @@ def _rarest_first(row: np.ndarray, h: np.ndarray, counts: np.ndarray) -> np.ndar
     return order
 
 
-def prefix_entries(row: np.ndarray, h: np.ndarray, counts: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _class_pairs(at: np.ndarray, key: np.ndarray, h: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places (the first of each pair) and combined hashes of all pairs of equal key; ``key`` is in order."""
+    step = 1
+    while step < len(at):
+        same = key[step:] == key[:-step]
+        if not same.any():
+            return
+        a, b = at[:-step][same], at[step:][same]
+        x, y = np.minimum(h[a], h[b]), np.maximum(h[a], h[b])
+        yield a, _mix(x * np.uint64(0xA0761D6478BD642F) + y)
+        step += 1
+
+
+def prefix_entries(row: np.ndarray, h: np.ndarray, counts: np.ndarray, num: int, den: int, use: Index = Index()) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Index entries of records: row numbers, entries (sorted by row), and the records' sizes.
 
-    ``row`` and ``h`` as of ``shingle_batch``, ``counts`` the sketch's count of each shingle.
+    ``row`` and ``h`` as of ``shingle_batch``, ``counts`` the level of each shingle's count. The last bit of an entry tells plain ones.
     """
     n = np.bincount(row) if len(row) else np.zeros(0, dtype=np.int64)
+    if not len(row):
+        return row, h, n
     order = _rarest_first(row, h, counts)
     row, h, counts = row[order], h[order], counts[order]
     start = np.cumsum(n) - n
     rank = np.arange(len(row)) - start[row]
     lack = n - -(-n * num // den)
+    alone = n * (den - num) < num  # too few shingles for any partner but an equal set
 
-    rare = counts <= RARE
-    group = ((h >> np.uint64(64 - _HASH_BITS)) & np.uint64(CLASSES - 1)).astype(np.int64)
+    rare = counts <= use.rare
+    bits = (h >> np.uint64(64 - _HASH_BITS)).astype(np.int64)
+    group = bits & (use.classes - 1)
     # the first of each class counts nothing, every other one 1; the order within a row stays
     gain = np.ones(len(row), dtype=np.int64)
     common = np.flatnonzero(~rare)
     if len(common):
-        _, first = np.unique(row[common] * CLASSES + group[common], return_index=True)
+        _, first = np.unique(row[common] * use.classes + group[common], return_index=True)
         gain[common[first]] = 0
     total = np.cumsum(gain)
     before = total - gain
-    capacity_before = before - before[start[row]] if len(row) else before
-    inside = capacity_before < lack[row] + LINKS
+    inside = before - before[start[row]] < lack[row] + use.links
     out_row, out = [], []
     single = inside & rare & (counts > 1)
     out_row.append(row[single])
     out.append(h[single])
-    # pairs of frequent shingles of one class within the prefix
     c = np.flatnonzero(inside & ~rare)
-    if len(c):
-        by = np.lexsort((c, group[c], row[c]))
-        c = c[by]
-        key = row[c] * CLASSES + group[c]
-        step = 1
-        while step < len(c):
-            same = key[step:] == key[:-step]
-            if not same.any():
-                break
-            a, b = c[:-step][same], c[step:][same]
-            x, y = np.minimum(h[a], h[b]), np.maximum(h[a], h[b])
-            out_row.append(row[a])
-            out.append(_mix(x * np.uint64(0xA0761D6478BD642F) + y))
-            step += 1
-    least = (CLASSES + LINKS - 1) * den // num  # up to so many shingles the capacity may not be reached
-    small = n * num <= least * den
-    plain = small[row] & (rank <= lack[row]) & (counts > 1)
+    c = c[np.lexsort((c, group[c], row[c]))]
+    for a, entry in _class_pairs(c, row[c] * use.classes + group[c], h):
+        out_row.append(row[a])
+        out.append(entry)
     entry_row, entry = np.concatenate(out_row), np.concatenate(out)
-    enough = np.bincount(entry_row, minlength=len(n)) >= LINKS if len(n) else np.zeros(0, dtype=bool)
+    enough = (np.bincount(entry_row, minlength=len(n)) >= use.links) & ~alone
     keep = enough[entry_row]
-    entry_row = np.r_[entry_row[keep], row[plain]]
-    entry = np.r_[entry[keep] & ~np.uint64(1), h[plain] | np.uint64(1)]  # the last bit tells plain entries apart
+    entry_row, entry = [entry_row[keep]], [entry[keep] & ~np.uint64(1)]
+
+    least = (use.classes + use.links - 1) * den // num  # up to so many shingles the capacity may not be reached
+    small = ((n * num <= least * den) & ~alone)[row]
+    tiny = (n * num <= 2 * den)[row]  # may share fewer than three shingles with a partner
+    frequent = counts > use.single
+    one = small & (rank <= lack[row]) & (counts > 1) & (~frequent | tiny)
+    entry_row.append(row[one])
+    entry.append(h[one] | np.uint64(1))
+    c = np.flatnonzero(small & frequent & (rank <= lack[row] + 2))
+    half = bits[c] & 1
+    by = np.lexsort((c, half, row[c]))
+    c, half = c[by], half[by]
+    for a, pair in _class_pairs(c, row[c] * 2 + half, h):
+        entry_row.append(row[a])
+        entry.append(pair | np.uint64(1))
+    entry_row, entry = np.concatenate(entry_row), np.concatenate(entry)
     by = np.argsort(entry_row, kind="stable")
     return entry_row[by], entry[by], n
 
@@ -215,43 +317,68 @@ def token_text(*columns: str | Column) -> Column:
     return F.lower(F.concat_ws(" ", *columns))
 
 
-def _copies(records: DataFrame, key: str, text: Column) -> DataFrame:
-    return records.filter(F.col(key).isNotNull()).select(F.col(key), text.alias("_text"))
+def _shared_entries(reps: DataFrame, num: int, den: int, use: Index) -> DataFrame:
+    """(rep_a, rep_b): representatives that share enough entries. ``reps`` is a written table (rep, n, entries)."""
+    posted = reps.select("rep", "n", F.explode("entries").alias("entry"))
+    plain = F.col("entry").bitwiseAND(F.lit(1))
+    hot = posted.filter(plain == 0).groupBy("entry").agg(F.count(F.lit(1)).alias("_m")).filter(F.col("_m") > use.hot).select("entry")
+    hot = materialise(hot, "near-hot")
+    n_hot = hot.count()
+    posted = posted.withColumn("some_hot", F.lit(False))
+    if n_hot:
+        hot = F.broadcast(hot) if n_hot <= BROADCAST_KEYS else hot
+        of_hot = posted.join(hot, "entry", "left_semi").select("rep", "n", "entry")
+        held = of_hot.groupBy("rep", "n").agg(F.array_sort(F.collect_set("entry")).alias("hot"))  # at most a record's entries
+        held = materialise(held, "near-hot-records")
+        posted = posted.drop("some_hot").join(hot, "entry", "left_anti").join(held.select("rep", F.lit(True).alias("some_hot")), "rep", "left")
+        posted = posted.withColumn("some_hot", F.coalesce("some_hot", F.lit(False)))
+    side = lambda rows, x: rows.select("entry", *(F.col(c).alias(f"{c}_{x}") for c in ("rep", "n", "some_hot")))
+    sizes = f"rep_a < rep_b and n_a * {den} >= n_b * {num} and n_b * {den} >= n_a * {num}"
+    pairs = (
+        side(posted, "a")
+        .join(side(posted, "b"), "entry")
+        .filter(sizes)
+        .groupBy("rep_a", "rep_b")
+        .agg(F.count(F.lit(1)).alias("links"), F.max(plain).alias("plain"), F.max(F.col("some_hot_a") & F.col("some_hot_b")).alias("both_hot"))
+        # of a pair with one hot entry in common, the other entries are counted
+        .filter(f"plain = 1 or links >= {use.links} or (both_hot and links >= {use.links - 1})")
+        .select("rep_a", "rep_b")
+    )
+    if n_hot:
+        two = held.select("rep", "n", F.explode(F.expr("flatten(transform(hot, (x, i) -> transform(slice(hot, i + 2, size(hot)), y -> xxhash64(x, y))))")).alias("entry"), F.lit(True).alias("some_hot"))
+        pairs = pairs.union(side(two, "a").join(side(two, "b"), "entry").filter(sizes).select("rep_a", "rep_b")).distinct()
+    return pairs
 
 
-def similar_classes(records: DataFrame, key: str, text: Column, width: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
-    """(links, members): pairs (rep_a, rep_b) of similar representatives of different texts, and
-    (rep, key) of every record whose text another record has too (texts with a shingle only). ``rep`` is the least key of a text."""
-    base = _copies(records, key, text)
+def similar_classes(records: DataFrame, key: str, text: Column, width: int, num: int, den: int, use: Index = Index()) -> tuple[DataFrame, DataFrame]:
+    """(links, members): pairs (rep_a, rep_b) of similar representatives of different sets, and
+    (rep, key) of every record whose set another record has too. ``rep`` is the least key of a set."""
+    base = records.filter(F.col(key).isNotNull()).select(F.col(key), text.alias("_text"))
     kind = base.schema[key].dataType.simpleString()
-    sketch = base.sparkSession.sparkContext.broadcast(shingle_sketch(base, "_text", width).tobytes())
+    sketch = base.sparkSession.sparkContext.broadcast(shingle_sketch(base, "_text", width, use.sketch_bits).tobytes())
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, counts = _TokenIds(), np.frombuffer(sketch.value, dtype=np.uint8)
         for batch in batches:
-            row, h = shingle_batch(batch.column(2).to_pylist(), width, ids)
-            entry_row, entry, n = prefix_entries(row, h, counts[_slot(h)], num, den)
-            rows, at = np.unique(entry_row, return_index=True)
+            row, h = shingle_batch(batch.column(1).to_pylist(), width, ids)
+            rows, copy = shingle_set_digests(row, h)
             if not len(rows):
                 continue
-            entries = pa.ListArray.from_arrays(pa.array(np.r_[at, len(entry)].astype(np.int32)), pa.array(entry.view(np.int64)))
-            take = pa.array(rows)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(take), batch.column(1).take(take), pa.array(n[rows].astype(np.int32)), entries], names=["copy", "rep", "n", "entries"]
-            )
-
-    copy = F.unhex(F.md5("_text")).alias("copy")
-    indexed = base.select(copy, key, "_text").mapInArrow(index, f"copy binary, rep {kind}, n int, entries array<bigint>")
-    one = indexed.groupBy("copy").agg(F.min(F.struct("rep", "n", "entries")).alias("r")).select("r.rep", "r.n", F.explode("r.entries").alias("entry"))
-    a = one.select("entry", F.col("rep").alias("rep_a"), F.col("n").alias("n_a"))
-    b = one.select("entry", F.col("rep").alias("rep_b"), F.col("n").alias("n_b"))
-    shared = (
-        a.join(b, "entry")
-        .filter(f"rep_a < rep_b and n_a * {den} >= n_b * {num} and n_b * {den} >= n_a * {num}")
-        .groupBy("rep_a", "rep_b")
-        .agg(F.count(F.lit(1)).alias("links"), F.max(F.col("entry").bitwiseAND(F.lit(1))).alias("plain"))
-    )
-    pairs = materialise(shared.filter(f"links >= {LINKS} or plain = 1").select("rep_a", "rep_b"), "near-candidates")
+            entry_row, entry, n = prefix_entries(row, h, counts[_slot(h, use.sketch_bits)], num, den, use)
+            bounds = np.r_[np.searchsorted(entry_row, rows), len(entry)].astype(np.int32)
+            entries = pa.ListArray.from_arrays(pa.array(bounds), pa.array(entry.view(np.int64)))
+            yield pa.RecordBatch.from_arrays([copy, batch.column(0).take(pa.array(rows)), pa.array(n[rows].astype(np.int32)), entries], names=["copy", "rep", "n", "entries"])
+
+    indexed = materialise(base.select(key, "_text").mapInArrow(index, f"copy binary, rep {kind}, n int, entries array<bigint>"), "near-index")
+    # classes of equal sets; all but their representatives leave the index
+    groups = indexed.groupBy("copy").agg(F.min("rep").alias("_r"), F.count(F.lit(1)).alias("_c")).filter("_c > 1").select("copy", "_r")
+    members = materialise(indexed.select("copy", "rep").join(groups, "copy").select(F.col("_r").alias("rep"), F.col("rep").alias(key)), "near-members")
+    others = members.filter(F.col("rep") != F.col(key)).select(F.col(key).alias("rep"))
+    if others.count() <= BROADCAST_KEYS:
+        others = F.broadcast(others)
+    reps = indexed.filter(F.size("entries") > 0).join(others, "rep", "left_anti").select("rep", "n", "entries")
+    pairs = materialise(_shared_entries(reps, num, den, use), "near-candidates")
+    release(indexed)
 
     wanted = pairs.select(F.col("rep_a").alias(key)).union(pairs.select("rep_b")).distinct()
     if pairs.count() <= BROADCAST_KEYS // 2:
@@ -271,19 +398,12 @@ def similar_classes(records: DataFrame, key: str, text: Column, width: int, num:
         .withColumn("_both", F.size(F.array_intersect("_x", "_y")))
     )
     links = both.filter(f"_both * {den} >= (size(_x) + size(_y) - _both) * {num}").select("rep_a", "rep_b")
-
-    # possessive, so that each repetition takes one whole token
-    enough = rf"(?:[a-z0-9]++(?:[-'][a-z0-9]++)*+[^a-z0-9]++){{{width - 1}}}[a-z0-9]"
-    named = base.filter(F.col("_text").rlike(enough)).select(copy, key)
-    groups = named.groupBy("copy").agg(F.min(key).alias("rep"), F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("copy", "rep")
-    members = named.join(groups, "copy").select("rep", key)
     return links, members
 
 
-def near_duplicate_pairs(records: DataFrame, key: str, text: Column, width: int = 5, num: int = 4, den: int = 5) -> DataFrame:
+def near_duplicate_pairs(records: DataFrame, key: str, text: Column, width: int = 5, num: int = 4, den: int = 5, use: Index = Index()) -> DataFrame:
     """(pos_a, pos_b): all pairs of similar records, copies included."""
-    links, members = similar_classes(records, key, text, width, num, den)
-    members = materialise(members, "copies")
+    links, members = similar_classes(records, key, text, width, num, den, use)
     within = members.select("rep", F.col(key).alias("_a")).join(members.select("rep", F.col(key).alias("_b")), "rep").filter("_a < _b").select("_a", "_b")
     side = lambda r, out: members.select(F.col("rep").alias(r), F.col(key).alias(out))
     between = (
@@ -294,11 +414,11 @@ def near_duplicate_pairs(records: DataFrame, key: str, text: Column, width: int
     return within.unionByName(between).select(F.least("_a", "_b").alias("pos_a"), F.greatest("_a", "_b").alias("pos_b"))
 
 
-def near_duplicate_groups(records: DataFrame, key: str, text: Column, width: int = 5, num: int = 4, den: int = 5) -> DataFrame:
+def near_duplicate_groups(records: DataFrame, key: str, text: Column, width: int = 5, num: int = 4, den: int = 5, use: Index = Index()) -> DataFrame:
     """(key, group_id, n_links): one row per record; the group is the least key of its component,
-    n_links the number of similar representatives of other texts. Records with a null key are left out."""
-    links, members = similar_classes(records, key, text, width, num, den)
-    links, members = materialise(links, "near-links"), materialise(members, "copies")
+    n_links the number of similar representatives of other sets. Records with a null key are left out."""
+    links, members = similar_classes(records, key, text, width, num, den, use)
+    links = materialise(links, "near-links")
     component = connected_components(links, "rep_a", "rep_b")
     ends = links.select(F.col("rep_a").alias("node")).union(links.select("rep_b")).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
     rows = records.filter(F.col(key).isNotNull()).select(key).join(members, key, "left").withColumn("node", F.coalesce("rep", key))

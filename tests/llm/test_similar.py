@@ -4,6 +4,7 @@ import itertools
 import random
 from collections import defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -51,13 +52,41 @@ def test_near_pairs(spark, width, num, den, vocabulary, longest):
     assert len(got) == len(set(got)) and set(got) == brute_pairs(rows, width, num, den)
 
 
-def test_frequent_shingles_are_indexed_in_pairs(spark, monkeypatch):
-    """With every shingle frequent, the index holds combinations only, and still misses nothing."""
-    monkeypatch.setattr(near, "RARE", 1)
-    rows = sample(random.Random(9), 50, [f"w{k}" for k in range(40)], 80)
+@pytest.mark.parametrize("use", [near.Index(12, rare=1, single=1), near.Index(11, rare=1, single=1, hot=3), near.Index(14, hot=2), near.Index(16, single=2, classes=4, hot=5)])
+@pytest.mark.parametrize("num,den", [(7, 10), (4, 5), (1, 2)])
+def test_frequent_shingles_and_hot_entries(spark, use, num, den):
+    """With frequent shingles, crowded counters and entries of many records, the index holds combinations, and still misses nothing."""
+    rng = random.Random(9)
+    rows = sample(rng, 50, [f"w{k}" for k in range(40)], 60) + sample(rng, 40, list("abc"), 14)
+    rows = list(enumerate(t for _, t in rows))
+    rows += [(len(rows) + k, " ".join(["one frame that all of these share to the end of it", *rng.sample("pqrstuvw", 3)])) for k in range(40)]
     frame = spark.createDataFrame(rows, "pos long, question string")
-    got = {(r.pos_a, r.pos_b) for r in near.near_duplicate_pairs(frame, "pos", near.token_text("question"), 3, 7, 10).collect()}
-    assert got == brute_pairs(rows, 3, 7, 10)
+    got = [(r.pos_a, r.pos_b) for r in near.near_duplicate_pairs(frame, "pos", near.token_text("question"), 3, num, den, use).collect()]
+    assert len(got) == len(set(got)) and set(got) == brute_pairs(rows, 3, num, den)
+
+
+def test_the_sketch_adds_up(spark):
+    rng = random.Random(2)
+    rows = [(" ".join(rng.choice("abcdefg") for _ in range(30)),) for _ in range(300)]
+    frame = spark.createDataFrame(rows, "t string")
+    wanted = np.zeros(1 << 12, dtype=np.int64)
+    _, h = near.shingle_batch([t for t, in rows], 3, near._TokenIds())
+    np.add.at(wanted, near._slot(h, 12), 1)
+    for parts in (1, 3, 7):
+        assert near.shingle_sketch(frame.repartition(parts), "t", 3, 12).tolist() == near.levels(wanted).tolist()
+    assert near.levels(np.array([0, 1, 32, 33, 64, 1 << 20, 1 << 40])).tolist() == [0, 1, 32, 32, 40, 152, 255]
+    block = np.array([0, 1, 254, 255, 256, 70_000] + [0] * 2042, dtype=np.uint32)
+    at, n = near._packed_block(block)
+    back = np.zeros(2048, dtype=np.int64)
+    np.add.at(back, np.frombuffer(at, "<u2"), np.frombuffer(n, np.uint8))
+    assert back.tolist() == block.tolist()
+
+
+def test_records_of_equal_sets_are_one_class(spark):
+    rows = [(k, t) for k, t in enumerate(["A b, c d", "a B c; d!", "a b c d", "a b c d a b c d a b"] * 200)]
+    frame = spark.createDataFrame(rows, "pos long, question string")
+    links, members = near.similar_classes(frame, "pos", near.token_text("question"), 3, 7, 10)
+    assert links.count() == 0 and members.count() == 800 and {r.rep for r in members.collect()} == {0, 3}
 
 
 def test_near_groups(spark):
