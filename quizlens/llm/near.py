@@ -44,6 +44,7 @@ import hashlib
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -129,9 +130,10 @@ def shingle_batch(texts: list[str | None], width: int, ids: dict) -> tuple[np.nd
 
 def shingle_set_digests(row: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, pa.Array]:
     """Row numbers that have shingles, and a 128-bit digest of each one's set."""
-    rows, at = np.unique(row, return_index=True)
-    if not len(rows):
-        return rows, pa.array([], type=pa.binary())
+    if not len(row):
+        return row, pa.array([], type=pa.binary())
+    at = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
+    rows = row[at]
     sums = [np.add.reduceat(_mix(h * np.uint64(k) + np.uint64(k >> 7)), at) for k in (0x9E6C63D0676A9A99, 0xE2C6F0B5D1A4F38B)]
     data = np.column_stack(sums).astype("<u8").tobytes()
     offsets = np.arange(0, 16 * len(rows) + 1, 16, dtype=np.int32)
@@ -149,20 +151,25 @@ def levels(counts: np.ndarray) -> np.ndarray:
     return np.where(counts <= _EXACT_LEVEL, counts, np.minimum(grown, 255)).astype(np.uint8)
 
 
-def _packed_block(block: np.ndarray) -> tuple[bytes, bytes]:
-    """Places and counts of the used counters; a count beyond a byte takes several entries."""
-    at = np.flatnonzero(block)
-    n = block[at].astype(np.int64)
+def _packed_blocks(counts: np.ndarray) -> Iterator[tuple[int, bytes, bytes]]:
+    """(block, places, counts) of the used counters of each block; a count beyond a byte takes several entries."""
+    at = np.flatnonzero(counts)
+    n = counts[at].astype(np.int64)
     times = (n + 254) // 255
-    last = np.cumsum(times) - 1
     parts = np.full(int(times.sum()), 255, dtype=np.uint8)
-    parts[last] = n - 255 * (times - 1)
-    return np.repeat(at, times).astype("<u2").tobytes(), parts.tobytes()
+    parts[np.cumsum(times) - 1] = n - 255 * (times - 1)
+    at = np.repeat(at, times)
+    size = 1 << _BLOCK_BITS
+    bounds = np.searchsorted(at, np.arange(0, len(counts) + size, size)).tolist()
+    at, parts = (at & (size - 1)).astype("<u2").tobytes(), parts.tobytes()
+    for block, (i, j) in enumerate(zip(bounds, bounds[1:])):
+        if i < j:
+            yield block, at[2 * i : 2 * j], parts[i:j]
 
 
 def _added(batches: Iterator[pa.RecordBatch], width: int, names: tuple[str, ...], pack) -> Iterator[pa.RecordBatch]:
     """Sums of parts that arrive in order of their ``width`` leading key columns, one sum in memory at a time."""
-    total, last, rows = np.zeros(1 << _BLOCK_BITS, dtype=np.uint64), None, []
+    total, last, rows = np.zeros(1 << _BLOCK_BITS), None, []  # doubles hold whole numbers exactly
 
     def flushed() -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(c, type=pa.int32() if i < width else pa.binary()) for i, c in enumerate(zip(*rows))], names=list(names))
@@ -178,7 +185,7 @@ def _added(batches: Iterator[pa.RecordBatch], width: int, names: tuple[str, ...]
                         rows.clear()
                 total[:] = 0
                 last = key
-            np.add.at(total, np.frombuffer(at.as_buffer(), dtype="<u2"), np.frombuffer(n.as_buffer(), dtype=np.uint8))
+            total += np.bincount(np.frombuffer(at.as_buffer(), dtype="<u2"), np.frombuffer(n.as_buffer(), dtype=np.uint8), 1 << _BLOCK_BITS)
     if last is not None:
         rows.append((*last, *pack(total)))
         yield flushed()
@@ -203,17 +210,14 @@ def shingle_sketch(records: DataFrame, text: str, width: int, bits: int) -> np.n
                 held, size = [], 0
         if size:
             flush()
-        team = TaskContext.get().partitionId() // FAN_IN
-        blocks = sketch.reshape(-1, 1 << _BLOCK_BITS)
-        for start in range(0, len(blocks), _BLOCKS_AT_ONCE):
-            used = [i for i in range(start, min(start + _BLOCKS_AT_ONCE, len(blocks))) if blocks[i].any()]
-            if used:
-                at, n = zip(*(_packed_block(blocks[i]) for i in used))
-                kinds = (pa.int32(), pa.int32(), pa.binary(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip((used, [team] * len(used), at, n), kinds)], names=["block", "team", "at", "n"])
+        team, packed = TaskContext.get().partitionId() // FAN_IN, _packed_blocks(sketch)
+        while rows := list(islice(packed, _BLOCKS_AT_ONCE)):
+            used, at, n = zip(*rows)
+            kinds = (pa.int32(), pa.int32(), pa.binary(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip((used, [team] * len(used), at, n), kinds)], names=["block", "team", "at", "n"])
 
     def teams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from _added(batches, 2, ("block", "team", "at", "n"), _packed_block)
+        yield from _added(batches, 2, ("block", "team", "at", "n"), lambda total: next(_packed_blocks(total))[1:])
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from _added(batches, 1, ("block", "level"), lambda total: (levels(total).tobytes(),))

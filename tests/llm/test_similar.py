@@ -76,7 +76,7 @@ def test_the_sketch_adds_up(spark):
         assert near.shingle_sketch(frame.repartition(parts), "t", 3, 12).tolist() == near.levels(wanted).tolist()
     assert near.levels(np.array([0, 1, 32, 33, 64, 1 << 20, 1 << 40])).tolist() == [0, 1, 32, 32, 40, 152, 255]
     block = np.array([0, 1, 254, 255, 256, 70_000] + [0] * 2042, dtype=np.uint32)
-    at, n = near._packed_block(block)
+    ((_, at, n),) = near._packed_blocks(block)
     back = np.zeros(2048, dtype=np.int64)
     np.add.at(back, np.frombuffer(at, "<u2"), np.frombuffer(n, np.uint8))
     assert back.tolist() == block.tolist()
