@@ -58,6 +58,19 @@ def test_formatting_groups(spark):
     assert formatting.formatting_copies(formatting.parsed_records(frame.limit(0), "line_id", "record"), "line_id").count() == 0
 
 
+def test_repeated_keys_are_copies(spark):
+    """Two rows with one key are two records, and a group is never fused from them."""
+    record = lambda q: json.dumps({"question": q, "choices": ["a", "B"], "answer_index": 0})
+    lines = [(1, record("Q?")), (1, record("q")), (2, record("Q")), (3, record("other")), (3, record("other")), (4, record("OTHER"))]
+    parsed = formatting.parsed_records(spark.createDataFrame(lines, "line_id long, record string"), "line_id", "record")
+    got = {r.keep_id: (r.copies, r.question) for r in formatting.collapsed_records(parsed, "line_id").collect()}
+    assert set(got) == {1, 3} and got[1][0] == 3 and got[1][1] in ("Q?", "q") and got[3] == (3, "other")
+    assert formatting.collapsed_records(parsed, "line_id").count() == 2
+    assert sorted((r.keep_id, r.copy_id) for r in formatting.formatting_copies(parsed, "line_id").collect()) == [(1, 2), (3, 4)]
+    rows = parsed.withColumn("x", F.explode(F.sequence(F.lit(1), F.lit(500)))).drop("x")
+    assert {r.keep_id: r.copies for r in formatting.collapsed_records(rows, "line_id").collect()} == {1: 1500, 3: 1500}
+
+
 # -- quotas ----------------------------------------------------------------------------------------
 
 
