@@ -55,9 +55,15 @@ def _answer() -> Column:
     return F.coalesce(F.col("answer_index"), F.lit(-(1 << 62)))
 
 
-def _writing() -> Column:
-    """Identity of a record as it is written: its answer and the digests of its values, in order."""
-    return F.unhex(F.md5(F.concat_ws(",", _answer().cast("string"), F.transform(_values(), lambda v: F.md5(v)))))
+def _writing(values: Column, answer: Column) -> Column:
+    """Identity of a record as it is written, from the digests of its values and its answer."""
+    return F.unhex(F.md5(F.concat_ws(",", answer.cast("string"), F.transform(values, lambda v: F.hex(v)))))
+
+
+def writings(records: DataFrame, *keep: str) -> DataFrame:
+    """(kept columns, writing, answer, values) of each row; ``values`` are the digests of its values in order."""
+    digested = records.select(*keep, _answer().alias("answer"), F.transform(_values(), _value_digest).alias("values"))
+    return digested.select(*keep, _writing(F.col("values"), F.col("answer")).alias("writing"), "answer", "values")
 
 
 def value_dictionary(records: DataFrame) -> DataFrame:
@@ -70,22 +76,22 @@ def value_dictionary(records: DataFrame) -> DataFrame:
     return dictionary
 
 
-def encoded_writings(records: DataFrame) -> DataFrame:
+def encoded_writings(written: DataFrame, dictionary: DataFrame) -> DataFrame:
     """(writing, code): each distinct writing as its tuple of the answer index and the identifiers of its values
-    in the order of their slots (the question first, then the choices); written."""
-    dictionary = value_dictionary(records)
-    once = records.select(_writing().alias("writing"), _answer().alias("answer"), F.transform(_values(), _value_digest).alias("values")).distinct()
+    in the order of their slots (the question first, then the choices)."""
+    once = written.select("writing", "answer", "values").distinct()
     slots = once.select("writing", "answer", F.posexplode("values").alias("slot", "value")).join(dictionary, "value")
     tuples = slots.groupBy("writing", "answer").agg(F.array_sort(F.collect_list(F.struct("slot", "number"))).alias("slots"))  # the values of one record
-    coded = materialise(tuples.select("writing", F.concat(F.array("answer"), F.col("slots.number")).alias("code")), "codes")
-    release(dictionary)
-    return coded
+    return tuples.select("writing", F.concat(F.array("answer"), F.col("slots.number")).alias("code"))
 
 
 def formatting_groups(records: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
     """(groups, rows): (code, keep_id, keep_writing, copies) of each group, and (key, writing, rows, code) of each key and writing."""
-    rows = records.groupBy(F.col(key), _writing().alias("writing")).agg(F.count(F.lit(1)).alias("rows"))
-    coded = materialise(rows.join(encoded_writings(records), "writing"), "coded-rows")
+    written = materialise(writings(records, key), "writings")
+    dictionary = value_dictionary(records)
+    rows = written.groupBy(key, "writing").agg(F.count(F.lit(1)).alias("rows"))
+    coded = materialise(rows.join(encoded_writings(written, dictionary), "writing"), "coded-rows")
+    release(written, dictionary)
     least = F.min(F.struct(F.col(key).alias("k"), F.col("writing").alias("w")))
     groups = coded.groupBy("code").agg(least.alias("first"), F.sum("rows").alias("copies"))
     return groups.select("code", F.col("first.k").alias("keep_id"), F.col("first.w").alias("keep_writing"), "copies"), coded
@@ -102,6 +108,7 @@ def collapsed_records(records: DataFrame, key: str) -> DataFrame:
     """(keep_id, copies, question, choices, answer_index): one record of each group, that of the least key (and writing, if a
     key has several)."""
     groups, _ = formatting_groups(records, key)
-    written = records.select(F.col(key).alias("keep_id"), _writing().alias("keep_writing"), "question", "choices", "answer_index")
+    named = records.withColumnRenamed(key, "keep_id")
+    written = writings(named, "keep_id", "question", "choices", "answer_index").withColumnRenamed("writing", "keep_writing")
     kept = written.join(groups.select("keep_id", "keep_writing", "copies"), ["keep_id", "keep_writing"]).dropDuplicates(["keep_id", "keep_writing"])
     return kept.select("keep_id", "copies", "question", "choices", "answer_index")
