@@ -6,7 +6,7 @@ import unicodedata
 
 import numpy as np
 import pytest
-from hypothesis import given, settings
+from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as hs
 
 from quizlens.llm import bpe, packing, visual
@@ -160,24 +160,46 @@ SAME = [
 DIFFERENT = [("a", "A"), ("e", "é"), ("2", "²"), ("m5", "m⁵"), ("1/2", "½"), ("s", "ſ"), ("a.", "a"), ("б", "6"), ("-", "–"), ("π", "n"), ("a b", "ab"), ("①", "1")]
 
 
+SAME += [("v", "ν"), ("p", "ρ"), ("a", "α"), ("æ", "ӕ"), ("r", "г"), ("-", "\u2010"), ("'", "\u2019"), ("-", "\u2212"), ("i", "ı"), ("l", "ℓ"), ("a", "𝐚"), ("a", "𝖺"), ("І", "I"), ("ꓮ", "ꓮ\u200b")]
+DIFFERENT += [("I", "l"), ("l", "1"), ("O", "0"), ("О", "0"), ("І", "l"), ("a", "ª"), ("x", "×"), ("m", "rn"), ("σ", "s"), ("`", "'"), ("α", "A"), ("ł", "l"), ("ø", "o")]
+
+
+@pytest.fixture(scope="module")
+def forms(spark):
+    return visual.Forms(visual.look_alikes(spark))
+
+
 @pytest.mark.parametrize(("a", "b"), SAME)
-def test_same_look(a, b):
-    assert visual.visual_form(a) == visual.visual_form(b)
+def test_same_look(forms, a, b):
+    assert forms.visual(a) == forms.visual(b)
 
 
 @pytest.mark.parametrize(("a", "b"), DIFFERENT)
-def test_different_look(a, b):
-    assert visual.visual_form(a) != visual.visual_form(b)
+def test_different_look(forms, a, b):
+    assert forms.visual(a) != forms.visual(b)
 
 
-@settings(max_examples=300, deadline=None)
-@given(hs.text(max_size=20))
-def test_forms_are_stable(text):
-    form = visual.visual_form(text)
-    assert visual.visual_form(form) == form
-    folded = visual.folded_form(text)
-    assert visual.folded_form(folded) == folded or text.isascii() is False
-    assert visual.folded_form(text) == visual.folded_form(form)
+def test_ascii_is_never_changed(forms):
+    text = "".join(map(chr, range(33, 127)))
+    assert forms.visual(text) == text and forms.visual(text + "é") == text + "é"
+    assert len(forms.table.alike) > 3000
+
+
+@settings(max_examples=300, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(text=hs.text(max_size=20))
+def test_forms_are_stable(forms, text):
+    form = forms.visual(text)
+    assert forms.visual(form) == form
+    folded = forms.folded(text)
+    assert forms.folded(folded) == folded or text.isascii() is False
+    assert forms.folded(text) == forms.folded(form)
+
+
+def test_many_equal_rows_and_one_variant(spark):
+    """Equal rows are not compared with one another: their number is that of the results."""
+    frame = spark.range(100_000).selectExpr("id AS rec_id", "'pa ce' AS question", "array('x', 'y') AS texts").union(spark.sql("SELECT 200000L, 'pа ce', array('x', 'y')"))
+    got = visual.look_alike_pairs(frame, "rec_id", "question", "texts")
+    assert got.count() == 100_000 and got.filter("rec_b = 200000").count() == 100_000
 
 
 def test_look_alike_pairs(spark):
