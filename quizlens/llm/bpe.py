@@ -8,8 +8,10 @@ before the end of the window is final, is emitted, and leaves the window. Memory
 constant in the length of the run.
 
 Texts are first cut into the tokenizer's pre-tokens, in blocks; the pre-token that
-touches the end of a block is carried over, because it may still grow. Pre-tokens
-recur, so their ids are memoised in a table of bounded size.
+touches the end of a block is carried over, because it may still grow. One that fills a
+block is a run of one class of characters: it is fed to the transducer block by block, as
+far as it is certain to belong to it, and never held as a whole. Pre-tokens
+recur, so the ids of short ones are memoised in a table of bounded size.
 
 Decoding is the reverse state machine: bytes of ids are fed to an incremental UTF-8
 decoder that holds back incomplete sequences.
@@ -46,7 +48,7 @@ _CONTRACTIONS = "'s|'t|'re|'ve|'m|'ll|'d"
 MEMO_ENTRIES = 1 << 17  # bound of the pre-token memo of a worker
 MEMO_BYTES = 64  # longer pre-tokens are not memoised
 BLOCK_CHARS = 1 << 16  # a text is cut into pre-tokens block by block
-WINDOW_BYTES = 512  # bytes a run may hold beyond the lookahead before tokens are emitted
+WINDOW_BYTES = 4096  # bytes a run may hold beyond the lookahead before tokens are emitted
 
 
 def _pattern(letters: str, digits: str, space: str) -> str:
@@ -56,6 +58,12 @@ def _pattern(letters: str, digits: str, space: str) -> str:
     )
 
 
+def _runs(letters: str, digits: str, space: str) -> tuple:
+    """What a long pre-token can go on with: white space, letters, digits, or anything else."""
+    return tuple(regex.compile(f"[{inside}]*+").match for inside in (space, letters, digits, f"^{space}{letters}{digits}"))
+
+
+_UNICODE_RUNS = _runs(r"\p{L}", r"\p{N}", _SPACE)
 _UNICODE_PIECES = regex.compile(_pattern(r"\p{L}", r"\p{N}", _SPACE)).findall
 _ASCII_PIECES = re.compile(_pattern("A-Za-z", "0-9", r"\t-\r ")).findall
 
@@ -202,29 +210,54 @@ class Encoder:
             ids = [*run.feed(data), *run.finish()]
         return np.array(ids, dtype="<i4").tobytes()
 
+    def packed_parts(self, text: str, block: int = BLOCK_CHARS) -> Iterator[bytes]:
+        """Ids of a text as little-endian int32, in parts; beside the text a bounded amount is held."""
+        find, get = (_ASCII_PIECES if text.isascii() else _UNICODE_PIECES), self._memo.__getitem__
+        block = max(block, 4)
+        start = end = 0
+        while start < len(text):
+            end = min(len(text), max(end, start) + block)
+            pieces, kept = find(text[start:end]), 0
+            single = len(pieces) == 1
+            if end < len(text):
+                # a pre-token is settled once three characters follow it: contractions and the
+                # look at the next character after white space reach no further
+                while pieces and kept < 3:
+                    kept += len(pieces.pop())
+            if pieces or end == len(text):
+                yield b"".join(map(get, pieces))
+                start = end = end - kept
+            elif single:
+                start = end = yield from self._long_run(text, start, block)
+
+    def _long_run(self, text: str, start: int, block: int) -> Iterator[bytes]:
+        """Ids of the pre-token of one class of characters that begins at ``start``; returns where it ends."""
+        at = start + 1 if text[start] == " " and _UNICODE_RUNS[0](text, start + 1, start + 2).end() == start + 1 else start
+        first = next(find for find in _UNICODE_RUNS if find(text, at, at + 1).end() > at)
+        spaces = first is _UNICODE_RUNS[0]
+        run, done, at = RunTransducer(self.ranks, self.lookahead), start, at
+        while True:
+            stop = first(text, at, min(len(text), at + block)).end()
+            over = stop == len(text) or stop < at + block
+            # before anything else the last of several spaces is left to what follows
+            last = stop - 1 if spaces and stop < len(text) and stop - start > 1 else stop
+            if last > done:
+                yield np.fromiter(run.feed(text[done:last].encode("utf-8")), dtype="<i4").tobytes()
+                done = last
+            at = stop
+            if over:
+                yield np.fromiter(run.finish(), dtype="<i4").tobytes()
+                return done
+
     def packed(self, text: str, block: int = BLOCK_CHARS) -> bytes:
         """Ids of a text as little-endian int32."""
-        find, get = (_ASCII_PIECES if text.isascii() else _UNICODE_PIECES), self._memo.__getitem__
         if len(text) <= block:
-            return b"".join(map(get, find(text)))
-        out, held, at = [], "", 0
-        while at < len(text):
-            held += text[at : at + block]
-            at += block
-            if at >= len(text):
-                break
-            pieces, kept = find(held), 0
-            # a pre-token is settled once three characters follow it: contractions and the
-            # look at the next character after white space reach no further
-            while pieces and kept < 3:
-                kept += len(pieces.pop())
-            if pieces:
-                out.extend(map(get, pieces))
-                held = held[len(held) - kept :]
-            else:
-                block *= 2  # one pre-token fills the block; doubling keeps the cost linear
-        out.extend(map(get, find(held)))
-        return b"".join(out)
+            return b"".join(map(self._memo.__getitem__, (_ASCII_PIECES if text.isascii() else _UNICODE_PIECES)(text)))
+        return b"".join(self.packed_parts(text, block))
+
+    def count(self, text: str) -> int:
+        """Number of ids of a text."""
+        return sum(map(len, self.packed_parts(text))) // 4
 
     def encode(self, text: str | None) -> list[int]:
         return np.frombuffer(self.packed(text), dtype="<i4").tolist() if text else []
@@ -279,7 +312,7 @@ def count_column(df: DataFrame, key: str, text: str, out: str = "n_tokens", name
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = encoder(name, folder)
         for batch in batches:
-            counts = [len(p) // 4 for p in _packed_column(batch.column(1), coder)]
+            counts = [coder.count(t) if t else 0 for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, type=pa.int64())], names=[key, out])
 
     kind = df.schema[key].dataType.simpleString()

@@ -71,6 +71,29 @@ def test_the_transducer_holds_a_bounded_window(coder):
     assert out == [coder.ranks[t] for t in bpe.merge_bytes(data, coder.ranks)]
 
 
+@settings(max_examples=300, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(runs=hs.lists(hs.tuples(hs.sampled_from(["a", "\n", " ", "\t", "1", "é", "中", "'", "-", "'s", "\u3000", "\x1c"]), hs.integers(1, 40)), max_size=8), block=hs.integers(4, 24))
+def test_long_pre_tokens_in_small_blocks(coder, reference, runs, block):
+    text = "".join(c * n for c, n in runs)
+    assert np.frombuffer(coder.packed(text, block=block), dtype="<i4").tolist() == reference.encode_ordinary(text)
+
+
+@pytest.mark.parametrize("unit", ["a", "ab1", "-", " ", "中", "\n "])
+def test_memory_does_not_grow_with_a_run(coder, unit):
+    import tracemalloc
+
+    peaks = []
+    coder.encode("warm up " + unit * 10_000)  # the lookahead is computed and the memo holds what recurs
+    for size in (1 << 14, 1 << 17):
+        text = unit * (size // len(unit))
+        tracemalloc.start()
+        n = sum(len(p) for p in coder.packed_parts(text, block=1 << 11)) // 4
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+        assert n > 0
+    assert peaks[1] < 1.3 * peaks[0] + (1 << 16)
+
+
 def test_decoding_holds_back_incomplete_characters(coder):
     ids = coder.encode("é🙂中")
     parts = list(coder.decode(ids))
