@@ -6,7 +6,8 @@ key, so reruns and other partitionings take the same rows.
 
 Smallest keys without sorting a category in one task: rows are counted per category and
 bucket of their random key, the bucket in which the quota is reached is found from these
-counts, lower buckets are taken whole, and only that bucket is ranked.
+counts, lower buckets are taken whole, and only that bucket is ranked. The number of buckets
+follows from the largest category, so that the ranked bucket holds about ROWS rows at any size.
 
 Defined cases: null, empty and unlisted categories have no quota and are never drawn; a target for
 an absent category gives quota 0 and a shortfall; a null target share or floor counts as 0; an
@@ -18,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BUCKETS = 1024  # buckets of the random key within a category
+ROWS = 50_000  # rows of a bucket of the random key, about
 SEED = "quota-1"
 
 
@@ -64,30 +65,42 @@ def random_key(key: Column) -> Column:
 
 
 def quota_table(rows: DataFrame, category: str, targets: DataFrame, divisor: int) -> DataFrame:
-    """(category, target_bp, min_rows, available, wanted, quota, short) of each target.
+    """(category, target_bp, min_rows, available, wanted, quota, lacking, undrawn, short) of each target.
 
-    ``wanted`` is the larger of the floor and the target share of floor(rows / divisor), rounded up.
+    ``wanted`` is the larger of the floor and the target share of floor(rows / divisor), rounded up. ``lacking`` is what
+    the table has too few rows for (``short`` if any), ``undrawn`` what the quota stays below ``wanted``, be it for lack of
+    rows, for rounding, or because the floors of others used up the total.
     """
     spark = rows.sparkSession
-    named = targets.filter(F.col(category).isNotNull()).groupBy(category).agg(
-        F.max(F.coalesce("target_bp", F.lit(0))).cast("bigint").alias("target_bp"), F.max(F.coalesce("min_rows", F.lit(0))).cast("bigint").alias("min_rows")
-    )
-    # the targets are a given parameter table; counting by all values first keeps the shuffle small
-    counted = rows.groupBy(category).agg(F.count(F.lit(1)).alias("n"))
-    both = named.join(counted, category, "left").select(category, "target_bp", "min_rows", F.coalesce("n", F.lit(0)).alias("available")).collect()
-    total = rows.count() // divisor
-    quota = allocate({r[category]: (r["target_bp"], r["min_rows"]) for r in both}, {r[category]: r["available"] for r in both}, total)
+    wanted = {
+        r["c"]: (r["s"], r["f"])
+        for r in targets.filter(F.col(category).isNotNull())
+        .groupBy(F.col(category).alias("c"))
+        .agg(F.max(F.coalesce("target_bp", F.lit(0))).cast("bigint").alias("s"), F.max(F.coalesce("min_rows", F.lit(0))).cast("bigint").alias("f"))
+        .collect()
+    }  # the targets are a given parameter table
+    named = F.broadcast(targets.select(F.col(category).alias("c")).distinct())
+    counted = rows.groupBy(F.col(category).alias("c")).agg(F.count(F.lit(1)).alias("n"))
+    # one pass: all other categories are added up in one row, under null
+    listed = counted.join(named.withColumn("k", F.col("c")), "c", "left").groupBy("k").agg(F.sum("n").alias("n")).collect()
+    available = {r["k"]: r["n"] for r in listed if r["k"] is not None}
+    total = sum(r["n"] for r in listed) // divisor
+    quota = allocate(wanted, available, total)
     out = []
-    for r in both:
-        wanted = max(r["min_rows"], -(-r["target_bp"] * total // 10_000))
-        out.append((r[category], r["target_bp"], r["min_rows"], r["available"], wanted, quota[r[category]], r["available"] < wanted))
-    return spark.createDataFrame(out, f"`{category}` string, target_bp bigint, min_rows bigint, available bigint, wanted bigint, quota bigint, short boolean")
+    for name, (share, floor) in wanted.items():
+        goal, there = max(floor, -(-share * total // 10_000)), available.get(name, 0)
+        # what the cap of the allocation takes from the goal, and what the draw falls short of it for any reason
+        out.append((name, share, floor, there, goal, quota[name], goal - min(goal, there), goal - min(goal, quota[name])))
+    kinds = ", ".join(f"{c} bigint" for c in ("target_bp", "min_rows", "available", "wanted", "quota", "lacking", "undrawn"))
+    return spark.createDataFrame(out, f"`{category}` string, {kinds}").withColumn("short", F.col("lacking") > 0)
 
 
 def quota_sample(rows: DataFrame, key: str, category: str, quotas: DataFrame) -> DataFrame:
     """(key, category) of the rows drawn: in each category the ``quota`` smallest random keys."""
+    largest = quotas.agg(F.coalesce(F.max("available"), F.lit(0)).alias("n")).first()["n"]  # of the given targets
+    bits = min(40, max(4, (largest // ROWS).bit_length()))
     keyed = rows.select(F.col(key), F.col(category)).withColumn("_r", random_key(F.col(key)))
-    keyed = keyed.withColumn("_b", F.shiftright("_r", 52 - (BUCKETS.bit_length() - 1)).cast("int"))
+    keyed = keyed.withColumn("_b", F.shiftright("_r", 52 - bits))
     wanted = F.broadcast(quotas.filter("quota > 0").select(category, "quota"))  # one row per given target
     keyed = keyed.join(wanted, category)
     counts = keyed.groupBy(category, "_b", "quota").agg(F.count(F.lit(1)).alias("_n"))
