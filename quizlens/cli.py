@@ -4,21 +4,24 @@ from __future__ import annotations
 
 import argparse
 import importlib
+import os
 import sys
 from pathlib import Path
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import SparkSession
 
-from quizlens.model import AuditConfig, Gate
+import quizlens
+from quizlens.judgement import Audit, Rule
+from quizlens.operators.backends import HostedChat, causal
 from quizlens.operators.detectors import run_detectors
 from quizlens.operators.sampling import prepared
-from quizlens.operators.scoring import ApiScorer, LocalScorer, Simulation, SimulatedScorer
+from quizlens.operators.scoring import ApiScorer, LocalScorer, SimulatedScorer, default_threads
 from quizlens.plans.audit import run_audit
 from quizlens.plans.report import compare, from_json, render, render_comparison, render_corpus, to_json
-from quizlens.session import local_session
+from quizlens.session import local_session, stages
 from quizlens.sources.benchmarks import LOADERS, write_canonical
-from quizlens.sources.synthetic import CorpusSpec, generate
+from quizlens.sources.synthetic import generate
 
 DEMO_ITEMS = 500
 
@@ -27,15 +30,15 @@ def _spark() -> SparkSession:
     return SparkSession.getActiveSession() or local_session()
 
 
-def _gate(args: argparse.Namespace) -> Gate:
-    return Gate(args.alpha, args.power, args.bootstrap, args.min_effect)
+def _rule(args: argparse.Namespace) -> Rule:
+    return Rule(args.alpha, args.power, args.bootstrap, args.min_effect)
 
 
-def _emit(report, path: str | None) -> None:
-    print(render(report))
+def _show(audit: Audit, path: str | None) -> None:
+    print(render(audit))
     if path:
         Path(path).parent.mkdir(parents=True, exist_ok=True)
-        Path(path).write_text(to_json(report) + "\n", encoding="utf-8")
+        Path(path).write_text(to_json(audit) + "\n", encoding="utf-8")
 
 
 def _corpus(args: argparse.Namespace):
@@ -43,15 +46,16 @@ def _corpus(args: argparse.Namespace):
 
 
 def cmd_demo(args: argparse.Namespace) -> None:
-    planted = {"position_bias": 0.5, "biased_position": 1} if args.position > 0 else {}
-    items = generate(_spark(), CorpusSpec(n_items=DEMO_ITEMS, seed=args.seed, **planted))
-    scorer = SimulatedScorer(Simulation(args.skill, args.memorisation, args.distractor, args.position, 1 if planted else 0, args.choices_only, args.seed))
-    _emit(run_audit(items, "demo", scorer, AuditConfig(args.audit_seed, _gate(args))), args.json)
+    skewed = {"position": 0.5, "favoured": 1} if args.position > 0 else {}
+    items = generate(_spark(), DEMO_ITEMS, args.seed, **skewed)
+    rates = {"skill": args.skill, "memory": args.memorisation, "distractors": args.distractor, "options": args.choices_only}
+    scorer = SimulatedScorer(rates, args.position, skewed.get("favoured", 0), args.seed)
+    _show(run_audit(items, "demo", scorer, args.audit_seed, _rule(args)), args.json)
 
 
 def cmd_pathology(args: argparse.Namespace) -> None:
     items, _ = _corpus(args)
-    print(render_corpus(run_detectors(items, args.seed, _gate(args))))
+    print(render_corpus(run_detectors(items, args.seed, _rule(args))))
 
 
 def cmd_convert(args: argparse.Namespace) -> None:
@@ -59,7 +63,8 @@ def cmd_convert(args: argparse.Namespace) -> None:
 
 
 def cmd_compare(args: argparse.Namespace) -> None:
-    print(render_comparison(compare(*(from_json(Path(p).read_text(encoding="utf-8")) for p in (args.baseline, args.variant)))))
+    runs = [from_json(Path(p).read_text(encoding="utf-8")) for p in (args.baseline, args.variant)]
+    print(render_comparison(compare(_spark(), *runs)))
 
 
 def _loaded(spec: str):
@@ -69,17 +74,25 @@ def _loaded(spec: str):
     return getattr(importlib.import_module(module), name)
 
 
+def _scorer(args: argparse.Namespace):
+    if args.backend == "api":
+        if not args.adapter and not args.url:
+            raise ValueError("a hosted model needs --url, or an --adapter")
+        key = os.environ.get(args.key_variable) if args.key_variable else None
+        return ApiScorer(args.model, _loaded(args.adapter) if args.adapter else HostedChat(args.url, args.model, key))
+    threads = args.threads or default_threads()
+    load = _loaded(args.adapter) if args.adapter else causal(args.model, args.dtype, threads)
+    return LocalScorer(args.model, load, args.style, not args.unnormalised, args.dtype, threads)
+
+
 def cmd_audit(args: argparse.Namespace) -> None:
     items, name = _corpus(args)
-    if args.backend == "api":
-        scorer = ApiScorer(args.model, _loaded(args.adapter))
-    else:
-        scorer = LocalScorer(args.model, _loaded(args.adapter), args.style, not args.unnormalised, args.dtype, args.threads)
-    _emit(run_audit(items, name, scorer, AuditConfig(args.seed, _gate(args))), args.json)
+    _show(run_audit(items, name, _scorer(args), args.seed, _rule(args)), args.json)
 
 
 def parser() -> argparse.ArgumentParser:
     top = argparse.ArgumentParser(prog="quizlens", description="Audits multiple-choice corpora and the scores reported on them.")
+    top.add_argument("--version", action="version", version=f"quizlens {quizlens.__version__}")
     verbs = top.add_subparsers(dest="verb", required=True)
 
     def verb(name: str, run, text: str, gate: bool = False) -> argparse.ArgumentParser:
@@ -119,7 +132,9 @@ def parser() -> argparse.ArgumentParser:
     p = verb("audit", cmd_audit, "audit a model on a corpus", gate=True)
     corpus(p, "canonical")
     p.add_argument("model")
-    p.add_argument("--adapter", required=True, help="module:function that loads the model, or calls the service")
+    p.add_argument("--adapter", help="module:function that loads the model, or calls the service, instead of the built-in ones")
+    p.add_argument("--url", help="chat-completions address of a hosted model")
+    p.add_argument("--key-variable", help="environment variable that holds the key of the hosted model")
     p.add_argument("--backend", choices=("local", "api"), default="local")
     p.add_argument("--items", type=int)
     p.add_argument("--seed", type=int, default=7)
@@ -134,7 +149,8 @@ def parser() -> argparse.ArgumentParser:
 def main(argv: list[str] | None = None) -> int:
     args = parser().parse_args(argv)
     try:
-        args.run(args)
+        with stages():
+            args.run(args)
     except (ValueError, FileNotFoundError, ImportError, AnalysisException) as error:  # the last: a path that does not exist
         print(f"quizlens: {str(error).splitlines()[0]}", file=sys.stderr)
         return 2

@@ -138,38 +138,48 @@ def tie_key(question: Column, option: Column) -> Column:
     return F.sha2(F.concat(question, F.lit("\u0000"), option), 256)
 
 
+# Fixed value: options that can be named by a letter.
+LETTERS = "".join(chr(ord("A") + k) for k in range(8))
+
+
+def letter(index: Column) -> Column:
+    return F.substring(F.lit(LETTERS), index + 1, F.lit(1)) if isinstance(index, Column) else F.lit(LETTERS[index])
+
+
+def _asked(question: Column, present: Column, absent: Column) -> Column:
+    return F.when(F.trim(F.coalesce(question, F.lit(""))) == "", absent).otherwise(present)
+
+
 def labelled_prompt(question: Column, choices: Column) -> Column:
     """The question, if any, and one lettered line per option."""
-    lines = F.array_join(F.transform(choices, lambda c, i: F.concat(F.chr(F.lit(65) + i), F.lit(". "), c)), "\n")
-    return F.when(F.trim(F.coalesce(question, F.lit(""))) == "", lines).otherwise(F.concat(question, F.lit("\n"), lines))
+    lines = F.array_join(F.transform(choices, lambda c, i: F.concat(letter(i), F.lit(". "), c)), "\n")
+    return _asked(question, F.concat(question, F.lit("\n"), lines), lines)
+
+
+LEAD_IN = "Complete with the right option:"  # what a cloze prompt begins with
+GAP = "\n->"  # and what an option is written after
 
 
 def cloze_prompt(question: Column) -> Column:
     """What an option continues when the options are not listed."""
-    return F.when(F.trim(F.coalesce(question, F.lit(""))) == "", F.lit("Answer:")).otherwise(F.concat(F.lit("Question: "), question, F.lit("\nAnswer:")))
+    return _asked(question, F.concat(F.lit(f"{LEAD_IN}\n"), question, F.lit(GAP)), F.lit(LEAD_IN + GAP))
 
 
 def parsed_reply(reply: Column, n_choices: Column) -> Column:
     """Index of the option a free reply names, or null.
 
-    In this order: the whole reply is one label, punctuation aside; the first label followed by
-    one of ). : ]; the first label that stands as a word. Labels beyond the options are passed over.
+    Labels are letters that stand alone. Those beyond the options are passed over; of the others
+    the first one followed by one of ). : ] decides, or the first one if there is none.
     """
-    text = F.upper(F.trim(reply))
-    bare = F.regexp_replace(text, r"^[^A-Z0-9]+|[^A-Z0-9]+$", "")
-
-    def first(found: Column) -> Column:
-        return F.element_at(F.filter(F.transform(found, lambda c: F.ascii(c) - 65), lambda i: i < n_choices), 1)
-
-    marked = F.regexp_extract_all(text, F.lit(r"\b([A-H])[).:\]]"), F.lit(1))
-    worded = F.regexp_extract_all(text, F.lit(r"\b([A-H])\b"), F.lit(1))
-    alone = F.when(bare.rlike("^[A-H]$") & (F.ascii(bare) - 65 < n_choices), F.ascii(bare) - 65)
-    at = lambda found: F.when(F.size(F.filter(found, lambda c: F.ascii(c) - 65 < n_choices)) > 0, first(found))
-    return F.coalesce(alone, at(marked), at(worded))
+    alone = F.regexp_extract_all(F.translate(F.upper(reply), "_", " "), F.lit(rf"\b([{LETTERS}]\b[).:\]]?)"), F.lit(1))
+    named = F.filter(alone, lambda x: F.instr(F.lit(LETTERS), F.substring(x, 1, 1)) <= n_choices)
+    pick = F.coalesce(F.get(F.filter(named, lambda x: F.length(x) == 2), 0), F.get(named, 0))
+    return F.instr(F.lit(LETTERS), F.substring(pick, 1, 1)) - 1
 
 
 def label_index(label: Column, n_choices: Column) -> Column:
-    """Letter A-H or number from 1 to a zero-based index; null where it names no option."""
+    """A letter or a number from 1 to a zero-based index; null where it names no option."""
     text = F.upper(F.trim(label))
-    index = F.when(text.rlike("^[A-H]$"), F.ascii(text) - 65).when(text.rlike("^[0-9]{1,9}$"), text.cast("int") - 1)
-    return F.when((index >= 0) & (index < n_choices), index)
+    by_letter = F.when(F.length(text) == 1, F.instr(F.lit(LETTERS), text))
+    number = F.coalesce(F.nullif(by_letter, F.lit(0)), F.when(text.rlike("^[0-9]{1,9}$"), text.cast("int")))
+    return F.when((number >= 1) & (number <= n_choices), number - 1)

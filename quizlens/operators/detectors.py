@@ -7,7 +7,6 @@ collecting them is independent of the corpus' size.
 from __future__ import annotations
 
 import hashlib
-import math
 from collections.abc import Sequence
 from typing import Protocol
 
@@ -15,15 +14,17 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quizlens import stats
+from quizlens import resampling as rs
+from quizlens.functions.statistics import wilson
 from quizlens.functions.text import longest_count, longest_credit, tokens
-from quizlens.model import CorpusReport, Estimate, Finding, Gate, RawFinding, Verdict, decide
-from quizlens.operators.duplicates import affected_items, contradiction_groups, deduplicated, exact_groups, redundant_copies, with_digests
-from quizlens.session import materialise
+from quizlens.judgement import Findings, Rule, judged, raw_row, raw_table
+from quizlens.operators.duplicates import census, deduplicated, with_digests
+from quizlens.session import materialise, release
 
+# Folds and smoothing of the option probe, and the least items of each detector.
 FOLDS, SMOOTHING = 5, 1.0
-NULL_DRAWS, RANDOM_DRAWS, INTERVAL_DRAWS = 2000, 4000, 2000
 MIN_ITEMS = {"longest_answer": 20, "choices_only": 50, "near_duplicate": 10}
+DRAWS = 5000  # simulated corpora of a randomisation test, and replicates of an interval
 BROADCAST_WEIGHTS = 200_000
 
 
@@ -31,8 +32,8 @@ class Detector(Protocol):
     name: str
     assumes_independent_items: bool
 
-    def run(self, items: DataFrame, rng: np.random.Generator, gate: Gate) -> RawFinding | None:
-        """A finding before correction, or None where the corpus is too small or unfit."""
+    def run(self, items: DataFrame, rng: np.random.Generator, rule: Rule) -> dict | None:
+        """A row of judgement.RAW, or None where the corpus is too small or unfit."""
 
 
 # -- relational parts ------------------------------------------------------------------------------
@@ -145,84 +146,77 @@ def probe_histogram(items: DataFrame, seed: int = 0) -> DataFrame:
 # -- detectors -------------------------------------------------------------------------------------
 
 
-def _mean_finding(name: str, description: str, detail: str, values: np.ndarray, counts: np.ndarray, simulated: np.ndarray, rng: np.random.Generator, gate: Gate, method: str) -> RawFinding:
+def _mean_row(part: str, what: str, note: str, values: np.ndarray, counts: np.ndarray, simulated: np.ndarray, rng: np.random.Generator, rule: Rule, method: str) -> dict:
+    """A mean over items, its percentile interval, and its randomisation p."""
     point = float(counts @ values / counts.sum())
-    low, high = stats.percentile_interval(stats.resampled_means(rng, values, counts, INTERVAL_DRAWS), gate.alpha)
-    return RawFinding(name, description, Estimate.covering(point, low, high, stats.randomisation_p(point, simulated), int(counts.sum()), method), detail)
+    interval = rs.percentiles(rs.resampled_means(rng, values, counts, DRAWS), rule.alpha)
+    return raw_row("defect", part, what, point, interval, rs.randomisation_p(point, simulated), counts.sum(), method, note=note)
 
 
 class PositionSkew:
     name, assumes_independent_items = "position_skew", True
 
-    def run(self, items: DataFrame, rng: np.random.Generator, gate: Gate) -> RawFinding | None:
-        counts = np.array([r["n"] for r in position_histogram(items).orderBy("position").collect()])
+    def run(self, items: DataFrame, rng: np.random.Generator, rule: Rule) -> dict | None:
+        histogram = position_histogram(items)
+        counts = np.array([r["n"] for r in histogram.orderBy("position").collect()])  # one row per position
         k, n = len(counts), int(counts.sum())
         if k < 2 or n < 2 * k:
             return None
+        found = position_statistics(histogram).first()
         even = np.full(k, 1 / k)
         distance = lambda draws: 0.5 * np.abs(draws / n - even).sum(axis=1)
-        bias = float(distance(rng.multinomial(n, even, NULL_DRAWS)).mean())
-        point = stats.total_variation(counts.tolist()) - bias
-        low, high = stats.percentile_interval(distance(rng.multinomial(n, counts / n, INTERVAL_DRAWS)) - bias, gate.alpha)
-        p = stats.chi_square_tail(float(((counts - n / k) ** 2 / (n / k)).sum()), k - 1)
-        top = int(counts.argmax())
-        detail = f"position {top} holds {counts[top] / n:.1%} of {n} keys; {1 / k:.1%} would be even"
-        return RawFinding(self.name, "keys are spread unevenly over the positions", Estimate.covering(point, low, high, p, n, "total variation less its null mean"), detail)
+        bias = float(distance(rng.multinomial(n, even, DRAWS)).mean())
+        interval = rs.percentiles(distance(rng.multinomial(n, counts / n, DRAWS)) - bias, rule.alpha)
+        p = rs.chi_square_tail(found["chi_square"], k - 1)
+        note = f"position {found['modal_position']} holds {found['modal_share']:.1%} of {n} keys; {1 / k:.1%} would be even"
+        return raw_row("defect", self.name, "keys are spread unevenly over the positions", found["total_variation"] - bias, interval, p, n, "total variation less its null mean", note=note)
 
 
 class LongestAnswer:
     name, assumes_independent_items = "longest_answer", True
 
-    def run(self, items: DataFrame, rng: np.random.Generator, gate: Gate) -> RawFinding | None:
-        rows = longest_histogram(items).orderBy("k", "winners", "hit").collect()
-        n = sum(r["n"] for r in rows)
+    def run(self, items: DataFrame, rng: np.random.Generator, rule: Rule) -> dict | None:
+        rows = longest_histogram(items).orderBy("k", "winners", "hit").collect()  # at most two rows per pair of sizes
+        k, winners, hit, counts = (np.array(x) for x in zip(*rows)) if rows else (np.zeros(0),) * 4
+        n = int(counts.sum())
         if n < MIN_ITEMS[self.name]:
             return None
-        values = np.array([(1 / r["winners"] if r["hit"] else 0.0) - 1 / r["k"] for r in rows])
-        counts = np.array([r["n"] for r in rows])
-        simulated = np.zeros(RANDOM_DRAWS)
-        for k, m in sorted({(r["k"], r["winners"]) for r in rows}):
-            c = sum(r["n"] for r in rows if (r["k"], r["winners"]) == (k, m))
-            simulated += rng.binomial(c, m / k, RANDOM_DRAWS) / m - c / k
-        ties = sum(r["n"] for r in rows if r["winners"] > 1)
-        hits = sum(r["n"] / r["winners"] for r in rows if r["hit"])
-        detail = f"picking the longest option scores {hits / n:.1%}; {ties} items have several longest options"
-        return _mean_finding(self.name, "the key is the longest option too often", detail, values, counts, simulated / n, rng, gate, "mean excess over chance")
+        credit = np.where(hit, 1 / winners, 0.0)
+        simulated = np.zeros(DRAWS)
+        for size, many in sorted(set(zip(k.tolist(), winners.tolist()))):
+            c = int(counts[(k == size) & (winners == many)].sum())
+            simulated += rng.binomial(c, many / size, DRAWS) / many - c / size
+        note = f"picking the longest option scores {float(counts @ credit) / n:.1%}; {int(counts[winners > 1].sum())} items have several longest options"
+        return _mean_row(self.name, "the key is the longest option too often", note, credit - 1 / k, counts, simulated / n, rng, rule, "mean excess over chance")
 
 
 class ChoicesOnly:
     name, assumes_independent_items = "choices_only", True
 
-    def run(self, items: DataFrame, rng: np.random.Generator, gate: Gate) -> RawFinding | None:
+    def run(self, items: DataFrame, rng: np.random.Generator, rule: Rule) -> dict | None:
         if items.count() < MIN_ITEMS[self.name]:
             return None
-        rows = probe_histogram(items, int(rng.integers(1 << 31))).orderBy("k", "credit").collect()
-        counts = np.array([r["n"] for r in rows])
-        values = np.array([r["credit"] - 1 / r["k"] for r in rows])
+        k, credit, counts = (np.array(x) for x in zip(*probe_histogram(items, int(rng.integers(1 << 31))).orderBy("k", "credit").collect()))
         n = int(counts.sum())
-        simulated = np.zeros(RANDOM_DRAWS)
-        for k in sorted({r["k"] for r in rows}):
-            c = sum(r["n"] for r in rows if r["k"] == k)
-            simulated += rng.binomial(c, 1 / k, RANDOM_DRAWS) - c / k
-        accuracy = float(counts @ np.array([r["credit"] for r in rows]) / n)
-        detail = f"a token model that sees the options only scores {accuracy:.1%}, in {FOLDS} folds"
-        return _mean_finding(self.name, "the options give the key away", detail, values, counts, simulated / n, rng, gate, "cross-validated excess over chance")
+        simulated = np.zeros(DRAWS)
+        for size in np.unique(k).tolist():
+            c = int(counts[k == size].sum())
+            simulated += rng.binomial(c, 1 / size, DRAWS) - c / size
+        note = f"a token model that sees the options only scores {float(counts @ credit) / n:.1%}, in {FOLDS} folds"
+        return _mean_row(self.name, "the options give the key away", note, credit - 1 / k, counts, simulated / n, rng, rule, "cross-validated excess over chance")
 
 
 class NearDuplicate:
     name, assumes_independent_items = "near_duplicate", False
 
-    def run(self, items: DataFrame, rng: np.random.Generator, gate: Gate) -> RawFinding | None:
-        n = items.count()
+    def run(self, items: DataFrame, rng: np.random.Generator, rule: Rule) -> dict | None:
+        low, high = wilson(F.col("affected"), F.col("items"), rule.alpha)
+        found = census(items).withColumns({"low": low, "high": high}).first()
+        n, affected = found["items"], found["affected"]
         if n < MIN_ITEMS[self.name]:
             return None
-        digested = materialise(with_digests(items), "digested")
-        affected = affected_items(digested).count()
-        copies = redundant_copies(exact_groups(digested)).first()["redundant"]
-        against = contradiction_groups(digested).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
-        low, high = stats.wilson(affected, n, gate.alpha)
-        detail = f"{affected} of {n} items; {copies} redundant copies; {against} items in contradictory groups"
-        return RawFinding(self.name, "items repeat or contradict one another", Estimate.covering(affected / n, low, high, 0.0 if affected else 1.0, n, "census"), detail)
+        note = f"{affected} of {n} items; {found['redundant']} redundant copies; {found['contradictory']} items in contradictory groups"
+        return raw_row("defect", self.name, "items repeat or contradict one another", affected / n, (found["low"], found["high"]), 0.0 if affected else 1.0, n, "census", note=note)
 
 
 def default_detectors() -> list[Detector]:
@@ -233,27 +227,18 @@ def detector_rng(seed: int, name: str) -> np.random.Generator:
     return np.random.default_rng([seed, int.from_bytes(hashlib.sha256(name.encode()).digest()[:4], "big")])
 
 
-def run_detectors(items: DataFrame, seed: int, gate: Gate, detectors: Sequence[Detector] | None = None) -> CorpusReport:
+def run_detectors(items: DataFrame, seed: int, rule: Rule, detectors: Sequence[Detector] | None = None) -> Findings:
     """All detectors, corrected as one family. Repeats are withheld from those that assume independent items only."""
-    digested = materialise(with_digests(items), "digested")
-    items = digested.select(*items.columns)
-    unique = materialise(deduplicated(digested).select(*items.columns), "unique-items")
-    removed = items.count() - unique.count()
-    raw, skipped = [], []
+    items = materialise(items, "items")
+    unique = materialise(deduplicated(with_digests(items)).select(*items.columns), "unique-items")
+    withheld = items.count() - unique.count()
+    raw, not_run = [], []
     for detector in default_detectors() if detectors is None else detectors:
-        found = detector.run(unique if detector.assumes_independent_items else items, detector_rng(seed, detector.name), gate)
-        if found is None:
-            skipped.append(detector.name)
+        row = detector.run(unique if detector.assumes_independent_items else items, detector_rng(seed, detector.name), rule)
+        if row is None:
+            not_run.append(detector.name)
         else:
-            raw.append(found)
-    findings = []
-    for f, adjusted in zip(raw, stats.holm([f.estimate.p_value for f in raw])):
-        decision = decide(f.estimate, adjusted, gate)
-        mde = stats.mde_from_interval(f.estimate.ci_low, f.estimate.ci_high, gate.alpha, gate.power)
-        detail = f.detail if decision.established else f"{f.detail} [{decision.reason}]"
-        findings.append(Finding(f.detector, f.description, f.estimate, decision.verdict, adjusted, mde if math.isfinite(mde) else 0.0, detail))
-    return CorpusReport(tuple(findings), tuple(skipped), removed)
-
-
-def established(report: CorpusReport) -> list[Finding]:
-    return [f for f in report.findings if f.verdict is Verdict.ESTABLISHED]
+            raw.append(row)
+    rows = tuple(judged(raw_table(items.sparkSession, raw), rule).collect())  # one row per detector
+    release(items, unique)
+    return Findings(rows, tuple(not_run), withheld)

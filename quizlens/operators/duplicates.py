@@ -61,20 +61,37 @@ def rarest_shingles(sets: DataFrame, k: int = 3) -> DataFrame:
     return rows.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
-def candidate_pairs(sets: DataFrame, rare: int = 3) -> DataFrame:
-    """(pos_a, pos_b): items of which one has a shingle that is among the rarest of the other; all of them."""
-    probes = rarest_shingles(sets, rare).select(F.col("pos").alias("_p"), "shingle")
-    postings = sets.select(F.col("pos").alias("_q"), F.explode("shingles").alias("shingle"))
+def set_classes(sets: DataFrame) -> DataFrame:
+    """(rep, pos): every item with the least item whose set equals its own."""
+    coded = sets.select("pos", F.unhex(F.md5(F.array_join(F.array_sort("shingles"), "\u0001"))).alias("code"))
+    first = coded.groupBy("code").agg(F.min("pos").alias("rep"))
+    return coded.join(first, "code").select("rep", "pos")
+
+
+def candidate_classes(sets: DataFrame, classes: DataFrame, rare: int = 3) -> DataFrame:
+    """(rep_a, rep_b): representatives of different sets of which one has a shingle that is among the rarest of the other.
+
+    Frequencies are those over all items. Items with equal sets have equal candidates, so none but representatives are
+    joined; all their items are candidates of one another and of each other's.
+    """
+    reps = materialise(sets.join(classes.filter("rep = pos").select("pos"), "pos", "left_semi"), "representatives")
+    rows = reps.select("pos", F.explode("shingles").alias("shingle")).join(shingle_frequency(sets), "shingle")
+    rank = F.row_number().over(Window.partitionBy("pos").orderBy("df", "shingle"))
+    probes = rows.withColumn("_rank", rank).filter(F.col("_rank") <= rare).select(F.col("pos").alias("_p"), "shingle")
+    postings = reps.select(F.col("pos").alias("_q"), F.explode("shingles").alias("shingle"))
     pairs = probes.join(postings, "shingle").filter("_p <> _q")
-    return pairs.select(F.least("_p", "_q").alias("pos_a"), F.greatest("_p", "_q").alias("pos_b")).distinct()
+    return pairs.select(F.least("_p", "_q").alias("rep_a"), F.greatest("_p", "_q").alias("rep_b")).distinct()
 
 
-def ceiling_flags(pairs: DataFrame, ceiling: int = 400) -> DataFrame:
-    """(pos, candidates, over): how many candidates each item has, and whether more than ``ceiling``.
+def ceiling_flags(pairs: DataFrame, classes: DataFrame, ceiling: int = 400) -> DataFrame:
+    """(pos, candidates, over): how many candidates each item has, and whether more than ``ceiling``; items without any left out.
 
-    The flag only reports; no candidate is dropped."""
-    both = pairs.select(F.col("pos_a").alias("pos")).union(pairs.select("pos_b"))
-    return both.groupBy("pos").agg(F.count(F.lit(1)).alias("candidates")).withColumn("over", F.col("candidates") > ceiling)
+    Counted from the sizes of classes, without expanding them. The flag only reports; no candidate is dropped."""
+    sizes = classes.groupBy("rep").agg(F.count(F.lit(1)).alias("size"))
+    both = pairs.select(F.col("rep_a").alias("_c"), F.col("rep_b").alias("rep")).union(pairs.select(F.col("rep_b").alias("_c"), F.col("rep_a").alias("rep")))
+    others = both.join(sizes, "rep").groupBy(F.col("_c").alias("rep")).agg(F.sum("size").alias("others"))
+    counted = sizes.join(others, "rep", "left").select("rep", (F.col("size") - 1 + F.coalesce("others", F.lit(0))).alias("candidates")).filter("candidates > 0")
+    return classes.join(counted, "rep").select("pos", "candidates", (F.col("candidates") > ceiling).alias("over"))
 
 
 def _needed(n: Column, num: int, den: int) -> Column:
@@ -133,20 +150,33 @@ def near_members(sets: DataFrame, num: int = NEAR_NUM, den: int = NEAR_DEN) -> D
     return members.join(hit, "rep", "left_semi").select("pos")
 
 
-def affected_items(digested: DataFrame) -> DataFrame:
+def census_keys(items: DataFrame) -> DataFrame:
+    """(pos, stem, digest, answer): all that exact and contradictory groups need of an item; written once, narrow."""
+    keys = with_digests(items).select("pos", F.unhex(F.substring("stem", 8, 64)).alias("stem"), F.unhex(F.substring("digest", 8, 64)).alias("digest"), F.unhex(F.md5(F.get("nc", F.col("answer_index")))).alias("answer"))
+    return materialise(keys, "census-keys")
+
+
+def affected_items(items: DataFrame) -> DataFrame:
     """(pos, exact, contradictory, near): items of the census with the reasons that apply."""
-    exact = digested.join(exact_groups(digested).select("digest"), "digest", "left_semi").select("pos", F.lit("exact").alias("why"))
-    against = digested.join(contradiction_groups(digested).select("stem"), "stem", "left_semi").select("pos", F.lit("contradictory").alias("why"))
-    near = near_members(shingle_sets(digested)).select("pos", F.lit("near").alias("why"))
-    has = lambda why: F.max(F.col("why") == why).alias(why)
-    return exact.union(against).union(near).groupBy("pos").agg(has("exact"), has("contradictory"), has("near"))
+    return _affected(items, census_keys(items))
+
+
+def _affected(items: DataFrame, keys: DataFrame) -> DataFrame:
+    # one pass by stem: an item equals another if its digest recurs, and contradicts one if its stem has two answers
+    digests = keys.groupBy("stem", "digest", "answer").agg(F.count(F.lit(1)).alias("n"))
+    stems = digests.groupBy("stem").agg((F.min("answer") != F.max("answer")).alias("contradictory"), F.max(F.col("n") > 1).alias("some")).filter("contradictory or some")
+    hit = keys.join(stems.select("stem", "contradictory"), "stem").join(digests.select("stem", "digest", "answer", (F.col("n") > 1).alias("exact")), ["stem", "digest", "answer"])
+    near = near_members(shingle_sets(items)).select("pos", F.lit(False).alias("exact"), F.lit(False).alias("contradictory"), F.lit(True).alias("near"))
+    rows = hit.filter("exact or contradictory").select("pos", "exact", "contradictory", F.lit(False).alias("near")).union(near)
+    return rows.groupBy("pos").agg(*(F.max(c).alias(c) for c in ("exact", "contradictory", "near")))
 
 
-def census(digested: DataFrame) -> DataFrame:
+def census(items: DataFrame) -> DataFrame:
     """One row: items, affected items, redundant copies, contradictory items, near-only items."""
-    total = digested.agg(F.count(F.lit(1)).alias("items"))
-    affected = affected_items(digested).agg(
+    keys = census_keys(items)
+    copies = keys.groupBy("digest").agg(F.count(F.lit(1)).alias("n"))
+    total = copies.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("items"), F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("redundant"))
+    affected = _affected(items, keys).agg(
         F.count(F.lit(1)).alias("affected"), F.count_if("contradictory").alias("contradictory"), F.count_if(F.col("near") & ~F.col("exact")).alias("near_only")
     )
-    parts = total.unionByName(redundant_copies(exact_groups(digested)), True).unionByName(affected, True)
-    return parts.agg(*(F.max(c).alias(c) for c in ("items", "redundant", "affected", "contradictory", "near_only")))
+    return total.unionByName(affected, True).agg(*(F.max(c).alias(c) for c in ("items", "redundant", "affected", "contradictory", "near_only")))

@@ -10,12 +10,14 @@ permutation, which has one variant per option, is exploded last.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quizlens.functions.text import normalise_text, uniform, with_normal
+from quizlens.functions.text import uniform, with_normal
+from quizlens.session import materialise
 
 # Fixed value: the order in which interventions compose.
 ORDER = ("stronger_distractor", "neutral_reframing", "hide_question", "permute_options")
@@ -27,16 +29,38 @@ DESCRIPTIONS = {
     "permute_options": "the options rotated so that the key stands at each position once",
 }
 PREFIX = "Here is an item from a question set. "
-ATTEMPTS = 4  # draws from the pool before the exact way is taken
-_RANGE = 100_000  # pool positions that are ranked together
+BLOCK = 16  # pool entries that are looked up under one key
 
 
-def ordered(names: Sequence[str]) -> list[str]:
-    """Interventions in composition order; an unknown name is an error."""
-    for name in names:
-        if name not in ORDER:
-            raise ValueError(f"unknown intervention {name!r}")
-    return sorted(set(names), key=ORDER.index)
+@dataclass(frozen=True)
+class Rewriting:
+    """An intervention of one's own. ``variants(question, choices, answer_index, pos)`` gives an array of structs
+    (question, choices, answer_index); the number of options must stay. ``after`` names the built-in one it follows."""
+
+    name: str
+    text: str
+    variants: Callable[[Column, Column, Column, Column], Column]
+    after: str = "hide_question"
+
+
+Player = str | Rewriting
+
+
+def name_of(player: Player) -> str:
+    return player if isinstance(player, str) else player.name
+
+
+def describe(player: Player) -> str:
+    return DESCRIPTIONS[player] if isinstance(player, str) else player.text
+
+
+def ordered(players: Sequence[Player]) -> list[Player]:
+    """Interventions in composition order, each once; an unknown name is an error."""
+    known = {name_of(p): p for p in players}
+    place = {name: (i, "") for i, name in enumerate(ORDER)} | {n: (ORDER.index(p.after), n) for n, p in known.items() if isinstance(p, Rewriting) and p.after in ORDER}
+    if unknown := [n for n in known if n not in place]:
+        raise ValueError(f"unknown interventions: {', '.join(unknown)}")
+    return sorted(known.values(), key=lambda p: place[name_of(p)])
 
 
 def hidden(question: Column) -> Column:
@@ -70,43 +94,48 @@ def pool_without(pool: DataFrame, pos: int) -> DataFrame:
     return pool.filter(F.col("pos") != pos)
 
 
-def ranked_pool(items: DataFrame) -> DataFrame:
-    """(subject, rank, pool_pos, answer, nanswer): the pool by subject, ranked in corpus order from 0.
+def numbered_pool(normal: DataFrame) -> DataFrame:
+    """(subject, nanswer, answer, n, before): the distinct answers of each subject, in the order of their digests, with the
+    number of entries that come before; ``n`` entries have this answer, ``answer`` is its least spelling. Written.
 
-    Ranks are taken in ranges of positions plus an offset, so that one large subject is not sorted in one task.
+    Offsets come from the totals of 4,096 groups of digests a subject, so neither a large subject nor a
+    frequent answer is sorted in one task.
     """
-    pool = distractor_pool(items).withColumn("_range", F.floor(F.col("pos") / _RANGE))
-    sizes = pool.groupBy("subject", "_range").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy("subject").orderBy("_range")
-    sizes = sizes.withColumn("_offset", F.sum("_n").over(before) - F.col("_n")).drop("_n")
-    rank = F.row_number().over(Window.partitionBy("subject", "_range").orderBy("pos")) - 1
-    return pool.withColumn("_rank", rank).join(sizes, ["subject", "_range"]).select(
-        "subject", (F.col("_rank") + F.col("_offset")).cast("long").alias("rank"), F.col("pos").alias("pool_pos"), "answer", normalise_text(F.col("answer")).alias("nanswer")
-    )
+    pool = normal.select(F.coalesce("subject", F.lit("")).alias("subject"), F.get("choices", F.col("answer_index")).alias("answer"), F.get("nc", F.col("answer_index")).alias("nanswer"))
+    groups = pool.groupBy("subject", "nanswer").agg(F.min("answer").alias("answer"), F.count(F.lit(1)).alias("n"))
+    groups = groups.withColumn("_key", F.md5("nanswer")).withColumn("_lead", F.substring("_key", 1, 3))
+    upto = Window.partitionBy("subject").orderBy("_lead")
+    totals = groups.groupBy("subject", "_lead").agg(F.sum("n").alias("_t"))
+    totals = totals.withColumn("_offset", F.sum("_t").over(upto) - F.col("_t")).drop("_t")
+    within = F.sum("n").over(Window.partitionBy("subject", "_lead").orderBy("_key"))
+    numbered = groups.withColumn("_within", within - F.col("n")).join(totals, ["subject", "_lead"])
+    return materialise(numbered.select("subject", "nanswer", "answer", "n", (F.col("_within") + F.col("_offset")).alias("before")), "distractor-pool")
 
 
 def drawn_distractors(normal: DataFrame, seed: int) -> DataFrame:
     """(pos, distractor, ndistractor): a random usable answer of another item of the same subject, and its
     normal form; items without one are left out.
 
-    An answer is usable if it is none of the item's own options, in normal form. ATTEMPTS independent
-    draws by rank settle almost all items with one equi-join; only the rest is joined with its
-    subject's whole pool, where the usable entry with the least random key is taken. Both draw
-    uniformly over the usable entries, repeated answers weighing as often as they occur.
+    An answer is usable if it is none of the item's own options, in normal form. One draw is exact: its number among the
+    usable entries becomes a number among all entries of the subject by stepping over the item's own options,
+    whose places are looked up, and the entry of that number is looked up in turn. No item meets its subject's pool, and
+    repeated answers weigh as often as they occur.
     """
-    pool = ranked_pool(normal)
-    sizes = pool.groupBy("subject").agg(F.count(F.lit(1)).alias("_size"))
-    base = normal.select("pos", F.coalesce("subject", F.lit("")).alias("subject"), F.col("nc").alias("_own")).join(sizes, "subject")
-    name = "stronger_distractor"
-    draws = base.select("*", F.explode(F.sequence(F.lit(0), F.lit(ATTEMPTS - 1))).alias("_try"))
-    draws = draws.withColumn("rank", F.floor(uniform(seed, name, F.col("pos"), F.col("_try")) * F.col("_size")).cast("long"))
-    hits = draws.join(pool.select("subject", "rank", "answer", "nanswer"), ["subject", "rank"]).filter(~F.array_contains("_own", F.col("nanswer")))
-    entry = F.struct("answer", "nanswer")
-    first = hits.groupBy("pos").agg(F.min_by(entry, "_try").alias("_d"))
-    rest = base.join(first, "pos", "left_anti")
-    key = F.sha2(F.concat_ws("|", F.lit(str(seed)), F.lit(name), F.col("pos").cast("string"), F.col("pool_pos").cast("string")), 256)
-    exact = rest.join(pool, "subject").filter(~F.array_contains("_own", F.col("nanswer"))).groupBy("pos").agg(F.min_by(entry, key).alias("_d"))
-    return first.unionByName(exact).select("pos", F.col("_d.answer").alias("distractor"), F.col("_d.nanswer").alias("ndistractor"))
+    pool = numbered_pool(normal)
+    sizes = pool.groupBy("subject").agg(F.sum("n").alias("_size"))
+    base = normal.select("pos", F.coalesce("subject", F.lit("")).alias("subject"), "nc")
+    options = base.select("pos", "subject", F.explode(F.array_distinct("nc")).alias("nanswer"))
+    own = options.join(pool.select("subject", "nanswer", "n", "before"), ["subject", "nanswer"]).groupBy("pos").agg(F.array_sort(F.collect_list(F.struct("before", "n"))).alias("_own"))  # an item's options
+    rows = base.select("pos", "subject").join(sizes, "subject").join(own, "pos", "left")
+    usable = F.col("_size") - F.aggregate("_own", F.lit(0).cast("long"), lambda t, x: t + x["n"])
+    rows = rows.withColumn("_usable", F.coalesce(usable, F.col("_size"))).filter("_usable > 0")
+    drawn = F.floor(uniform(seed, "stronger_distractor", F.col("pos"), 0) * F.col("_usable")).cast("long")
+    stepped = F.aggregate("_own", F.col("_at"), lambda g, x: F.when(g >= x["before"], g + x["n"]).otherwise(g))
+    rows = rows.withColumn("_at", drawn).withColumn("_at", F.coalesce(stepped, F.col("_at"))).select("pos", "subject", "_at", F.floor(F.col("_at") / BLOCK).alias("_block"))
+    first, last = F.floor(F.col("before") / BLOCK), F.floor((F.col("before") + F.col("n") - 1) / BLOCK)
+    placed = pool.select("subject", "nanswer", "answer", "n", "before", F.explode(F.sequence(first, last)).alias("_block"))
+    found = rows.join(placed, ["subject", "_block"]).filter("_at >= before and _at < before + n")
+    return found.select("pos", F.col("answer").alias("distractor"), F.col("nanswer").alias("ndistractor"))
 
 
 def with_distractor(normal: DataFrame, seed: int) -> DataFrame:
@@ -122,49 +151,59 @@ def stronger_distractor(items: DataFrame, seed: int) -> DataFrame:
     return with_distractor(with_normal(items), seed).withColumn("choices", F.col("distracted")).drop("distracted", "ndistracted", "nq", "nc")
 
 
-def coalitions(items: DataFrame, seed: int, players: Sequence[str] = PLAYERS, carry: Sequence[str] = ()) -> DataFrame:
+def _rewritten(rows: DataFrame, player: Rewriting, shown: Column) -> DataFrame:
+    """Rows with the variants of an intervention of one's own where ``shown`` holds."""
+    now = F.struct("question", "choices", "answer_index")
+    variants = player.variants(F.col("question"), F.col("choices"), F.col("answer_index"), F.col("pos"))
+    rows = rows.withColumn("_v", F.explode(F.when(shown, variants).otherwise(F.array(now))))
+    rows = rows.withColumns({"question": F.coalesce("_v.question", F.lit("")), "choices": F.col("_v.choices"), "answer_index": F.col("_v.answer_index").cast("int")})
+    return with_normal(rows.drop("_v"))
+
+
+def coalitions(items: DataFrame, seed: int, players: Sequence[Player] = PLAYERS, carry: Sequence[str] = ()) -> DataFrame:
     """Every item under every subset of the players: pos, mask, variant, question, choices, answer_index, the normal
     forms nq and nc, and those of the original item, nq0 and nc0, with its key a0.
 
     Bit i of the mask stands for player i; columns in ``carry`` are kept. Normal forms are made once per item and rewritten
-    alongside: each rewriting maps normal forms to normal forms.
+    alongside: each built-in rewriting maps normal forms to normal forms; after one's own they are made anew.
     """
-    for name in players:
-        if name not in ORDER:
-            raise ValueError(f"unknown intervention {name!r}")
+    names, steps = [name_of(p) for p in players], ordered(players)
     rows = with_normal(items.select("pos", F.coalesce("question", F.lit("")).alias("question"), "choices", "answer_index", "subject", *carry))
-    if "stronger_distractor" in players:
+    if "stronger_distractor" in names:
         rows = with_distractor(rows, seed)
-    else:
-        rows = rows.withColumns({"distracted": F.col("choices"), "ndistracted": F.col("nc")})
-    rows = rows.withColumnsRenamed({"question": "q0", "choices": "c0", "answer_index": "a0", "nq": "nq0", "nc": "nc0"}).drop("subject")
-    rows = rows.withColumn("mask", F.explode(F.array(*(F.lit(m) for m in range(1 << len(players))))))
-
-    def on(name: str) -> Column:
-        return (F.col("mask").bitwiseAND(F.lit(1 << players.index(name))) != 0) if name in players else F.lit(False)
-
-    def asked(q: str) -> Column:
-        return F.when(on("hide_question"), hidden(F.col(q))).when(on("neutral_reframing"), reframed(F.col(q))).otherwise(F.col(q))
-
-    def offered(plain: str, swapped: str) -> Column:
-        return F.when(on("stronger_distractor"), F.col(swapped)).otherwise(F.col(plain))
-
-    rows = rows.withColumns({"question": asked("q0"), "nq": asked("nq0"), "choices": offered("c0", "distracted"), "nc": offered("nc0", "ndistracted")}).drop("q0", "c0", "distracted", "ndistracted")
-    variants = F.when(on("permute_options"), F.sequence(F.lit(0), F.size("choices") - 1)).otherwise(F.array(F.lit(-1)))
-    rows = rows.withColumn("variant", F.explode(variants))
-    turned = lambda c: F.when(F.col("variant") >= 0, rotated(F.col(c), F.col("a0"), F.col("variant"))).otherwise(F.col(c))
-    return rows.withColumns({"choices": turned("choices"), "nc": turned("nc"), "answer_index": F.when(F.col("variant") >= 0, F.col("variant")).otherwise(F.col("a0"))})
+    rows = rows.withColumns({"nq0": F.col("nq"), "nc0": F.col("nc"), "a0": F.col("answer_index"), "variant": F.lit(-1)}).drop("subject")
+    rows = rows.withColumn("mask", F.explode(F.array(*(F.lit(m) for m in range(1 << len(names))))))
+    for player in steps:
+        shown = F.col("mask").bitwiseAND(F.lit(1 << names.index(name_of(player)))) != 0
+        if isinstance(player, Rewriting):
+            rows = _rewritten(rows, player, shown)
+            numbers = Window.partitionBy("pos", "mask").orderBy(F.xxhash64("question", "choices", "answer_index"), "variant")
+            rows = rows.withColumn("variant", F.when(shown, F.row_number().over(numbers) - 1).otherwise(F.col("variant")))
+        elif player == "stronger_distractor":
+            swap = lambda plain, new: F.when(shown, F.col(new)).otherwise(F.col(plain))
+            rows = rows.withColumns({"choices": swap("choices", "distracted"), "nc": swap("nc", "ndistracted")}).drop("distracted", "ndistracted")
+        elif player == "permute_options":
+            rows = rows.withColumn("_at", F.explode(F.when(shown, F.sequence(F.lit(0), F.size("choices") - 1)).otherwise(F.array(F.lit(-1)))))
+            rows = rows.withColumn("_key", F.col("answer_index"))  # inside lambdas a name may stand for the column that replaces it
+            turned = lambda c: F.when(shown, rotated(F.col(c), F.col("_key"), F.col("_at"))).otherwise(F.col(c))
+            moved = {"choices": turned("choices"), "nc": turned("nc"), "answer_index": F.when(shown, F.col("_at")).otherwise(F.col("answer_index"))}
+            number = F.when(shown, F.greatest(F.col("variant"), F.lit(0)) * F.size("choices") + F.col("_at")).otherwise(F.col("variant"))
+            rows = rows.withColumns(moved | {"variant": number}).drop("_at", "_key")
+        else:
+            change = hidden if player == "hide_question" else reframed
+            rows = rows.withColumns({c: F.when(shown, change(F.col(c))).otherwise(F.col(c)) for c in ("question", "nq")})
+    return rows
 
 
-def apply_coalition(items: DataFrame, names: Sequence[str], seed: int) -> DataFrame:
+def apply_coalition(items: DataFrame, players: Sequence[Player], seed: int) -> DataFrame:
     """Items under one set of interventions, in composition order; the empty set changes nothing."""
-    for name in ordered(names):
-        if name == "stronger_distractor":
+    for player in ordered(players):
+        if isinstance(player, Rewriting):
+            items = _rewritten(items, player, F.lit(True)).drop("nq", "nc")
+        elif player == "stronger_distractor":
             items = stronger_distractor(items, seed)
-        elif name == "neutral_reframing":
-            items = items.withColumn("question", reframed(F.col("question")))
-        elif name == "hide_question":
-            items = items.withColumn("question", hidden(F.col("question")))
-        else:
+        elif player == "permute_options":
             items = permute_options(items)
+        else:
+            items = items.withColumn("question", hidden(F.col("question")) if player == "hide_question" else reframed(F.col("question")))
     return items

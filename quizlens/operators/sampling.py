@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+RANKED = 20_000  # rows that are sorted together, about
+
+
 def sample_key(seed: int, item_id: Column) -> Column:
     """A random rank of an item that depends on the seed and its id alone."""
     return F.sha2(F.concat_ws("|", F.lit(str(seed)), F.lit("sample"), item_id), 256)
@@ -15,12 +20,13 @@ def _smallest(rows: DataFrame, groups: list[str], quota: Column) -> DataFrame:
     """Rows with the ``quota`` smallest keys of each group, without sorting a group as a whole.
 
     Rows are counted by the leading digits of their key; groups of digits below the quota are taken whole,
-    and only the one in which it is reached is ranked.
+    and only the one in which it is reached is ranked. There are as many digits as leave some ten thousand rows to rank.
     """
-    lead = F.conv(F.substring("_key", 1, 3), 16, 10).cast("int")
+    digits = min(10, max(2, math.ceil(math.log(rows.count() / RANKED + 1, 16))))
+    lead = F.conv(F.substring("_key", 1, digits), 16, 10).cast("long")
     rows = rows.withColumns({"_lead": lead, "_quota": quota.cast("long")})
     counts = rows.groupBy(*groups, "_lead").agg(F.count(F.lit(1)).alias("_n"), F.first("_quota").alias("_q"))
-    upto = Window.partitionBy(*groups).orderBy("_lead")  # at most 4,096 rows a group
+    upto = Window.partitionBy(*groups).orderBy("_lead")  # one row for RANKED rows of the table, about
     counts = counts.withColumn("_before", F.sum("_n").over(upto) - F.col("_n")).filter("_before < _q").drop("_q")
     named = counts.withColumnsRenamed({c: f"_g_{c}" for c in groups} | {"_lead": "_g_lead"})
     on = [F.col(c).eqNullSafe(F.col(f"_g_{c}")) for c in groups] + [F.col("_lead") == F.col("_g_lead")]

@@ -9,26 +9,28 @@ from __future__ import annotations
 import hashlib
 import json
 import platform
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 import numpy as np
 import pyspark
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 import quizlens
-from quizlens import stats
+from quizlens import resampling as rs
+from quizlens.functions import statistics as st
 from quizlens.functions.text import item_digest, with_normal
-from quizlens.model import AuditConfig, AuditReport, Component, CorpusReport, Estimate, Gate, Manifest, Verdict, decide
+from quizlens.judgement import Audit, Findings, Rule, judged, raw_row, raw_table, score_summary
 from quizlens.operators.detectors import Detector, run_detectors
-from quizlens.operators.interventions import DESCRIPTIONS, PLAYERS, coalitions
+from quizlens.operators.interventions import PLAYERS, Player, coalitions, describe, name_of
 from quizlens.operators.scoring import Scorer, SimulatedScorer, outcomes
 from quizlens.session import materialise
 
+MAX_PATTERNS = 1 << 26  # figures of distinct outcome vectors that the driver takes (half a GB)
 _RANGE = 100_000  # positions that are folded together for the corpus hash
 
 
-def presented(items: DataFrame, scorer: Scorer, seed: int, players: Sequence[str] = PLAYERS) -> DataFrame:
+def presented(items: DataFrame, scorer: Scorer, seed: int, players: Sequence[Player] = PLAYERS) -> DataFrame:
     """(pos, mask, variant, prompt, correct): the scored outcome of every variant of every coalition."""
     if isinstance(scorer, SimulatedScorer):
         return outcomes(coalitions(items.withColumn("latents", scorer.latents()), seed, players, ["latents"]), scorer)
@@ -48,7 +50,7 @@ def coalition_accuracy(by_item: DataFrame) -> DataFrame:
 
 def shapley_shares(accuracy: DataFrame, players: Sequence[str] = PLAYERS) -> DataFrame:
     """(player, share): each player's exact part of the drop, as a fixed linear form of the accuracies."""
-    matrix = stats.shapley_matrix(len(players))
+    matrix = rs.shapley_weights(len(players))
     terms = [F.struct(F.lit(name).alias("player"), F.round(F.sum(F.element_at(F.array(*map(F.lit, matrix[i].tolist())), F.col("mask") + 1) * F.col("accuracy")), 9).alias("share")) for i, name in enumerate(players)]
     return accuracy.agg(F.array(*terms).alias("all")).select(F.explode("all").alias("s")).select("s.player", "s.share")
 
@@ -65,18 +67,16 @@ def outcome_patterns(by_item: DataFrame, masks: int) -> DataFrame:
     return wide.groupBy(*(f"m{m}" for m in range(masks))).agg(F.count(F.lit(1)).alias("n"))
 
 
-def inert_flags(by_item: DataFrame, players: Sequence[str] = PLAYERS) -> DataFrame:
-    """(player, inert): whether a player changes no item's outcome under any coalition."""
-    masks = 1 << len(players)
-    patterns = outcome_patterns(by_item, masks)
-    same = [
-        F.struct(
-            F.lit(name).alias("player"),
-            F.bool_and(F.array(*(F.col(f"m{m}") for m in range(masks) if not m >> i & 1)) == F.array(*(F.col(f"m{m | 1 << i}") for m in range(masks) if not m >> i & 1))).alias("inert"),
-        )
-        for i, name in enumerate(players)
-    ]
-    return patterns.agg(F.array(*same).alias("all")).select(F.explode("all").alias("s")).select("s.player", "s.inert")
+def inert_flags(patterns: DataFrame, players: Sequence[str] = PLAYERS) -> DataFrame:
+    """(player, inert): whether a player changes no item's outcome under any coalition, from distinct outcome vectors."""
+    masks = range(1 << len(players))
+
+    def unmoved(i: int) -> Column:
+        without = [m for m in masks if not m >> i & 1]
+        return F.bool_and(F.array(*(F.col(f"m{m}") for m in without)) == F.array(*(F.col(f"m{m | 1 << i}") for m in without)))
+
+    flags = [F.struct(F.lit(name).alias("player"), unmoved(i).alias("inert")) for i, name in enumerate(players)]
+    return patterns.agg(F.array(*flags).alias("all")).select(F.explode("all").alias("s")).select("s.player", "s.inert")
 
 
 def blind_outcomes(items: DataFrame, scorer: Scorer) -> DataFrame:
@@ -130,71 +130,70 @@ def corpus_hash(items: DataFrame, name: str) -> str:
     return f"sha256:{h.hexdigest()}"
 
 
-def config_hash(config: AuditConfig) -> str:
-    return "sha256:" + hashlib.sha256(json.dumps(config.as_dict(), sort_keys=True).encode()).hexdigest()
+def settings_hash(settings: Mapping[str, object]) -> str:
+    return "sha256:" + hashlib.sha256(json.dumps(settings, sort_keys=True).encode()).hexdigest()
 
 
-def library_versions() -> tuple[tuple[str, str], ...]:
-    return tuple(sorted({"numpy": np.__version__, "pyspark": pyspark.__version__, "python": platform.python_version()}.items()))
+def library_versions() -> dict[str, str]:
+    return {"numpy": np.__version__, "pyspark": pyspark.__version__, "python": platform.python_version()}
 
 
 # -- the audit -------------------------------------------------------------------------------------
 
 
-def attributed(patterns: np.ndarray, counts: np.ndarray, players: Sequence[str], gate: Gate, rng: np.random.Generator) -> list[Component]:
-    """Components of the drop, from distinct outcome vectors and their counts."""
-    matrix = stats.shapley_matrix(len(players))
-    n = int(counts.sum())
-    points = matrix @ (counts @ patterns / n)
-    replicates = stats.resampled_means(rng, patterns, counts, gate.draws) @ matrix.T
-    left_out = stats.jackknife_means(patterns, counts) @ matrix.T
-    inert = stats.inert_players(patterns)
-    p_values = [stats.bootstrap_p(float(points[i]), replicates[:, i]) for i in range(len(players))]
+def collected_patterns(patterns: DataFrame, masks: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct outcome vectors in a fixed order, and the number of items of each; refused where they would not fit the driver."""
+    names = [f"m{m}" for m in range(masks)]
+    if (found := patterns.count()) * masks > MAX_PATTERNS:
+        raise ValueError(f"{found} distinct outcome vectors of {masks} coalitions are too many to resample: audit fewer players at once")
+    rows = patterns.orderBy(*names).collect()  # bounded above
+    return np.array([[r[m] for m in names] for r in rows]), np.array([r["n"] for r in rows])
+
+
+def share_rows(patterns: np.ndarray, counts: np.ndarray, players: Sequence[Player], inert: set[str], rule: Rule, rng: np.random.Generator) -> list[dict]:
+    """Rows of judgement.RAW, one per player, from distinct outcome vectors and their counts."""
+    weights, n = rs.shapley_weights(len(players)).T, int(counts.sum())
+    points = counts @ patterns / n @ weights
+    replicates = rs.resampled_means(rng, patterns, counts, rule.draws) @ weights
+    left_out = rs.left_out_means(patterns, counts) @ weights
     out = []
-    for i, (name, adjusted) in enumerate(zip(players, stats.holm(p_values))):
-        low, high = stats.bca_interval(float(points[i]), replicates[:, i], left_out[:, i], counts, gate.alpha)
-        estimate = Estimate.covering(float(points[i]), low, high, p_values[i], n, "Shapley share, BCa bootstrap")
-        decision = decide(estimate, adjusted, gate)
-        reason = "it changed no outcome under any coalition" if i in inert else decision.reason
-        text = DESCRIPTIONS[name] if decision.established else f"{DESCRIPTIONS[name]} [{reason}]"
-        mde = stats.mde_from_se(float(replicates[:, i].std(ddof=1)), gate.alpha, gate.power)
-        out.append(Component(name, text, estimate, decision.verdict, adjusted, mde))
+    for i, player in enumerate(players):
+        point, drawn = float(points[i]), replicates[:, i]
+        interval = rs.bca_interval(point, drawn, left_out[:, i], counts, rule.alpha)
+        note = "it changed no outcome under any coalition" if name_of(player) in inert else ""
+        out.append(raw_row("share", name_of(player), describe(player), point, interval, rs.bootstrap_p(point, drawn), n, "Shapley share, BCa bootstrap", float(drawn.std(ddof=1)), note))
     return out
 
 
-def blind_estimate(items: DataFrame, scorer: Scorer, gate: Gate, rng: np.random.Generator) -> Estimate:
+def blind_row(items: DataFrame, scorer: Scorer, rule: Rule, rng: np.random.Generator) -> dict:
     """Accuracy without the question; p compares it with the shown items, paired."""
-    cells = paired_cells(coalition_outcomes(blind_outcomes(items, scorer))).first()
+    cells = paired_cells(coalition_outcomes(blind_outcomes(items, scorer))).withColumn("p", st.mcnemar_p(F.col("control_only"), F.col("treatment_only"))).first()
     n, hits = cells["n"], cells["both"] + cells["treatment_only"]
     values, counts = np.array([0.0, 1.0]), np.array([n - hits, hits])
-    replicates = stats.resampled_means(rng, values, counts, gate.draws)
-    low, high = stats.bca_interval(hits / n, replicates, stats.jackknife_means(values, counts), counts, gate.alpha)
-    p = stats.mcnemar(cells["control_only"], cells["treatment_only"], n).p_value
-    return Estimate.covering(hits / n, low, high, p, n, "accuracy without the question, BCa bootstrap")
+    replicates = rs.resampled_means(rng, values, counts, rule.draws)
+    interval = rs.bca_interval(hits / n, replicates, rs.left_out_means(values, counts), counts, rule.alpha)
+    return raw_row("blind", "blind", "accuracy without the question", hits / n, interval, cells["p"], n, "BCa bootstrap; paired exact p")
 
 
 def run_audit(
-    items: DataFrame, name: str, scorer: Scorer, config: AuditConfig = AuditConfig(), players: Sequence[str] = PLAYERS, detectors: Sequence[Detector] | None = None
-) -> AuditReport:
+    items: DataFrame, name: str, scorer: Scorer, seed: int = 0, rule: Rule = Rule(), players: Sequence[Player] = PLAYERS,
+    detectors: Sequence[Detector] | None = None, blind: bool = True, corpus_layer: bool = True,
+) -> Audit:
     """The whole audit of a corpus and a scorer."""
-    gate, rng = config.gate, np.random.default_rng(config.seed)
+    spark, rng, names = items.sparkSession, np.random.default_rng(seed), [name_of(p) for p in players]
     items = materialise(items, "items")
-    by_item = materialise(coalition_outcomes(presented(items, scorer, config.seed, players)), "outcomes")
-    masks = 1 << len(players)
-    rows = outcome_patterns(by_item, masks).orderBy(*(f"m{m}" for m in range(masks))).collect()
-    patterns = np.array([[r[f"m{m}"] for m in range(masks)] for r in rows])
-    counts = np.array([r["n"] for r in rows])
-    accuracy = counts @ patterns / counts.sum()
-    components = attributed(patterns, counts, players, gate, rng)
-    blind = blind_estimate(items, scorer, gate, rng) if config.measure_blind else None
-    corpus = run_detectors(items, config.seed, gate, detectors) if config.corpus_layer else CorpusReport((), (), 0)
-    manifest = Manifest(
-        name, corpus_hash(items, name), config_hash(config), int(counts.sum()), scorer.scorer_id, scorer.deterministic, config.seed,
-        gate.alpha, gate.power, gate.draws, tuple(players), quizlens.__version__, library_versions(),
-    )
-    chance = chance_accuracy(items).first()["chance"]
-    return AuditReport(manifest, float(accuracy[0]), float(accuracy[0] - accuracy[-1]), tuple(components), corpus.findings, chance, blind, corpus.skipped)
-
-
-def charged(report: AuditReport) -> tuple[str, ...]:
-    return tuple(c.name for c in report.components if c.verdict is Verdict.ESTABLISHED)
+    by_item = materialise(coalition_outcomes(presented(items, scorer, seed, players)), "outcomes")
+    table = materialise(outcome_patterns(by_item, 1 << len(names)), "patterns")
+    patterns, counts = collected_patterns(table, 1 << len(names))
+    inert = {r["player"] for r in inert_flags(table, names).filter("inert").collect()}  # one row per player
+    rows = share_rows(patterns, counts, players, inert, rule, rng) + ([blind_row(items, scorer, rule, rng)] if blind else [])
+    shares = judged(raw_table(spark, rows), rule)
+    corpus = run_detectors(items, seed, rule, detectors) if corpus_layer else Findings(())
+    accuracy, chance = counts @ patterns / counts.sum(), chance_accuracy(items).first()["chance"]
+    scores = score_summary(shares, float(accuracy[0]), float(accuracy[0] - accuracy[-1]), chance).first().asDict()
+    settings = {"seed": seed, "blind": blind, "corpus_layer": corpus_layer, "players": names, **rule.settings()}
+    run = {
+        "corpus": name, "corpus_hash": corpus_hash(items, name), "items": int(counts.sum()), "scorer": scorer.scorer_id, "deterministic": scorer.deterministic,
+        "settings": settings, "settings_hash": settings_hash(settings), "engine": quizlens.__version__, "libraries": library_versions(),
+    }
+    return Audit(run, scores, (*shares.collect(), *corpus.rows), corpus.not_run)

@@ -10,15 +10,16 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quizlens import stats
+from quizlens import resampling as rs
 from quizlens.functions import statistics as st
 from quizlens.functions import text as tx
-from quizlens.model import AuditConfig, Gate
+from quizlens.judgement import JUDGED, Rule
 from quizlens.operators import detectors as dt
 from quizlens.operators import duplicates as du
 from quizlens.operators import interventions as iv
 from quizlens.operators import rejects, sampling, scoring
 from quizlens.plans import audit as au
+from quizlens.plans import report as rp
 from quizlens.plans import sqltext as q
 from quizlens.session import materialise, table
 from quizlens.sources import benchmarks, synthetic
@@ -27,9 +28,10 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 SEED = 7
 SAMPLE = 500
-SIMULATION = scoring.Simulation(skill=0.4, memorisation=0.25, distractor_reliance=0.2, position_preference=0.1, favoured_position=1, choices_only=0.05, seed=11)
+SIMULATED = scoring.SimulatedScorer({"skill": 0.4, "memory": 0.25, "distractors": 0.2, "options": 0.05}, position=0.1, favoured=1, seed=11)
 _SIM_SQL = (11, 0.4, 0.25, 0.2, 0.1, 1, 0.05)
-_SPEC = synthetic.CorpusSpec(n_items=2000, seed=3, position_bias=0.3, longest_rate=0.2, marker_rate=0.1, duplicate_rate=0.05)
+_DEFECTS = {"position": 0.3, "longest": 0.2, "marker": 0.1, "repeat": 0.05}
+_SYNTHETIC_SEED, _SYNTHETIC_CHOICES = 3, 4
 
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
@@ -55,10 +57,10 @@ def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
         & (F.col("answer_index") >= 0)
         & (F.col("answer_index") < F.size("choices"))
     )
-    first = valid.groupBy("id").agg(F.min("pos").alias("pos")).select("pos")
-    return valid.join(first, "pos", "left_semi").select(
-        "pos", F.col("id").alias("item_id"), F.coalesce("question", F.lit("")).alias("question"), "choices", "answer_index", F.coalesce("subject", F.lit("")).alias("subject")
-    )
+    # one shuffle of whole rows, those of one id reduced to their first before it
+    kept = F.struct("pos", F.coalesce("question", F.lit("")).alias("question"), "choices", "answer_index", F.coalesce("subject", F.lit("")).alias("subject"))
+    first = valid.groupBy(F.col("id").alias("item_id")).agg(F.min_by(kept, "pos").alias("r"))
+    return first.select("r.pos", "item_id", "r.question", "r.choices", "r.answer_index", "r.subject")
 
 
 def normal(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,7 +68,8 @@ def normal(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def digested(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return materialise(du.with_digests(corpus(spark, sf_dir)), "digested")
+    """(pos, item_id, stem, digest, nc, answer_index) of the corpus; nothing is written."""
+    return du.with_digests(corpus(spark, sf_dir)).select("pos", "item_id", "stem", "digest", "nc", "answer_index")
 
 
 def shingled(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -101,27 +104,29 @@ _VOCABULARY = "[" + ", ".join(f"'{w}'" for w in synthetic.vocabulary()) + "]"
 
 
 def _sql_words(name: str, n: int) -> str:
-    digest = f"sha256('{_SPEC.seed}|{name}|' || src)"
+    digest = f"sha256('{_SYNTHETIC_SEED}|{name}|' || src)"
     return f"array_to_string(list_transform(range({n}), lambda k: v.words[(('0x' || substr({digest}, (k * 4 + 1)::INT, 4))::BIGINT % {synthetic.VOCABULARY} + 1)::INT]), ' ')"
 
 
-_U = lambda name: q.uniform(_SPEC.seed, name, "src", 0)
+_HIT = lambda name: f"{q.uniform(_SYNTHETIC_SEED, name, 'src', 0)} < {_DEFECTS[name]}"
 _OPTIONS = []
-for _j in range(_SPEC.n_choices):
+for _j in range(_SYNTHETIC_CHOICES):
     _plain = _sql_words(f"option-{_j}", synthetic.OPTION_WORDS)
-    _marked = f"CASE WHEN a = {_j} AND {_U('mark')} < {_SPEC.marker_rate} THEN '{synthetic.MARKER}' || substr({_plain}, 8) ELSE {_plain} END"
-    _OPTIONS.append(f"CASE WHEN a = {_j} AND {_U('pad')} < {_SPEC.longest_rate} THEN ({_marked}) || ' ' || {_sql_words('padding', synthetic.PADDING_WORDS)} ELSE {_marked} END")
+    _marked = f"CASE WHEN a = {_j} AND {_HIT('marker')} THEN '{synthetic.MARKER}' || substr({_plain}, 8) ELSE {_plain} END"
+    _OPTIONS.append(f"CASE WHEN a = {_j} AND {_HIT('longest')} THEN ({_marked}) || ' ' || {_sql_words('padding', synthetic.PADDING_WORDS)} ELSE {_marked} END")
 
 
 @query(
-    f"""WITH v AS (SELECT {_VOCABULARY} AS words),
-        g AS (SELECT pos, CASE WHEN pos < {_SPEC.n_items} THEN pos ELSE pos - {_SPEC.n_items} END AS src FROM (SELECT unnest(range({_SPEC.n_items + _SPEC.extra_items})) AS pos)),
-        h AS (SELECT *, CASE WHEN {_U('bias')} < {_SPEC.position_bias} THEN {_SPEC.biased_position} ELSE floor({_U('position')} * {_SPEC.n_choices})::INT END AS a FROM g)
+    f"""WITH v AS (SELECT {_VOCABULARY} AS words), t AS (SELECT count(*) AS n FROM items),
+        g AS (SELECT pos, pos % n AS src FROM (SELECT n, unnest(range(n + floor(n * {_DEFECTS['repeat']}::DOUBLE)::BIGINT)) AS pos FROM t)),
+        h AS (SELECT *, CASE WHEN {_HIT('position')} THEN 0 ELSE floor({q.uniform(_SYNTHETIC_SEED, 'key', 'src', 0)} * {_SYNTHETIC_CHOICES})::INT END AS a, FROM g)
         SELECT pos, 'syn-' || lpad(pos::VARCHAR, 7, '0') AS item_id, a AS answer_index, [{', '.join(_OPTIONS)}] AS choices,
-          {list(synthetic.SUBJECTS)}[(src % {len(synthetic.SUBJECTS)} + 1)::INT] AS subject, lower({_sql_words('question', synthetic.QUESTION_WORDS)}) || '?' AS question FROM h CROSS JOIN v"""
+          {list(synthetic.SUBJECTS)}[(src % {len(synthetic.SUBJECTS)} + 1)::INT] AS subject, upper(left(w, 1)) || substr(w, 2) || '?' AS question
+        FROM (SELECT *, {_sql_words('question', synthetic.QUESTION_WORDS)} AS w FROM h CROSS JOIN v) AS v"""
 )
 def src12_synthetic(spark, sf_dir):
-    return synthetic.generate(spark, _SPEC).withColumn("question", F.lower("question"))
+    """A synthetic corpus of as many items as ``items`` has, with all defects planted."""
+    return synthetic.generate(spark, table(spark, sf_dir, "items").count(), _SYNTHETIC_SEED, _SYNTHETIC_CHOICES, **_DEFECTS)
 
 
 @query(q.CORPUS + "SELECT pos, choices[answer_index + 1] AS answer FROM c")
@@ -202,7 +207,7 @@ def sc2_tokenise(spark, sf_dir):
 @query(q.NORMAL + "SELECT pos, min(pos) OVER (PARTITION BY nq, nc, answer_index) AS item_class, min(pos) OVER (PARTITION BY nq, nc) AS stem_class FROM n")
 def sc4_digest_classes(spark, sf_dir):
     """Digests are checked as identities: which items have the same ones."""
-    rows = digested(spark, sf_dir).select("pos", "digest", "stem")
+    rows = materialise(digested(spark, sf_dir).select("pos", "digest", "stem"), "digests")
     items = rows.groupBy("digest").agg(F.min("pos").alias("item_class"))
     stems = rows.groupBy("stem").agg(F.min("pos").alias("stem_class"))
     return rows.join(items, "digest").join(stems, "stem").select("pos", "item_class", "stem_class")
@@ -264,15 +269,15 @@ def sc16_parsed_reply(spark, sf_dir):
 
 @query(
     q.CORPUS
-    + """SELECT pos, CASE WHEN trim(question) = '' THEN l ELSE question || chr(10) || l END AS labelled, CASE WHEN trim(question) = '' THEN 'Answer:' ELSE 'Question: ' || question || chr(10) || 'Answer:' END AS cloze
+    + """SELECT pos, CASE WHEN trim(question) = '' THEN l ELSE question || chr(10) || l END AS labelled, CASE WHEN trim(question) = '' THEN 'Complete with the right option:' || chr(10) || '->' ELSE 'Complete with the right option:' || chr(10) || question || chr(10) || '->' END AS cloze
          FROM (SELECT *, array_to_string(list_transform(choices, lambda x, i: chr((64 + i)::INT) || '. ' || x), chr(10)) AS l FROM c)"""
 )
 def sc17_prompts(spark, sf_dir):
     return corpus(spark, sf_dir).select("pos", tx.labelled_prompt(F.col("question"), F.col("choices")).alias("labelled"), tx.cloze_prompt(F.col("question")).alias("cloze"))
 
 
-_Z = stats.z_value(0.995)
-_ZP = stats.z_value(0.8)
+_Z = st.quantile(0.995)
+_ZP = st.quantile(0.8)
 
 
 @query(
@@ -315,7 +320,8 @@ def sc23_mcnemar_p(spark, sf_dir):
 
 @query(q.CORPUS + "SELECT subject, round(quantile_cont(length(question)::DOUBLE, 0.005), 9) AS low, round(quantile_cont(length(question)::DOUBLE, 0.995), 9) AS high FROM c GROUP BY subject")
 def sc25_percentile_interval(spark, sf_dir):
-    return corpus(spark, sf_dir).groupBy("subject").agg(*(_r(F.percentile(F.length("question").cast("double"), p), a) for p, a in ((0.005, "low"), (0.995, "high"))))
+    low, high = st.percentile_interval(F.length("question").cast("double"), 0.01)
+    return corpus(spark, sf_dir).groupBy("subject").agg(_r(low, "low"), _r(high, "high"))
 
 
 _FAMILY = """, g AS (SELECT subject, count(*) AS n, count(DISTINCT answer_index) AS k, sum((answer_index = 0)::INT) AS x FROM c GROUP BY subject),
@@ -389,7 +395,7 @@ _NEAR = ", i AS (SELECT a.pos AS pos_a, b.pos AS pos_b, a.n AS na, b.n AS nb, co
         count(*) FILTER (contradictory) AS contradictory, count(*) FILTER (near AND NOT exact) AS near_only FROM k"""
 )
 def ag4_census(spark, sf_dir):
-    return du.census(digested(spark, sf_dir))
+    return du.census(materialise(corpus(spark, sf_dir), "items"))
 
 
 @query(q.SHINGLES + "SELECT shingle, df FROM d")
@@ -481,7 +487,7 @@ def ag22_corpus_hash(spark, sf_dir):
 
 @query(q.NORMAL + "SELECT pos, item_id FROM n QUALIFY pos = min(pos) OVER (PARTITION BY nq, nc, answer_index)")
 def wn1_deduplicated(spark, sf_dir):
-    return du.deduplicated(digested(spark, sf_dir)).select("pos", "item_id")
+    return du.deduplicated(materialise(digested(spark, sf_dir).select("pos", "item_id", "digest"), "digests")).select("pos", "item_id")
 
 
 _RAREST = ", rr AS (SELECT pos, shingle, df, row_number() OVER (PARTITION BY pos ORDER BY df, shingle) AS rank FROM p JOIN d USING (shingle))"
@@ -498,13 +504,28 @@ def wn2_rarest_shingles(spark, sf_dir):
 )
 def wn6_jackknife(spark, sf_dir):
     rows = materialise(corpus(spark, sf_dir).select("pos", F.length("question").alias("x")), "values")
-    total = rows.agg(F.sum("x").alias("s"), F.count(F.lit(1)).alias("n")).first()  # two numbers
-    return rows.select("pos", _r((F.lit(total["s"]) - F.col("x")) / F.lit(total["n"] - 1), "left_out"))
+    return rows.select("pos", _r(st.jackknife(rows, "x"), "left_out"))
+
 
+_CLASSES = """, sc AS (SELECT pos, min(pos) OVER (PARTITION BY list_sort(shingles)) AS rep FROM s)"""
 
-@query(q.SHINGLES + _RAREST + ", pr AS (SELECT DISTINCT least(a.pos, b.pos) AS pos_a, greatest(a.pos, b.pos) AS pos_b FROM rr a JOIN p b ON a.shingle = b.shingle AND a.pos <> b.pos WHERE a.rank <= 3) SELECT pos_a, pos_b FROM pr")
+
+@query(
+    q.SHINGLES
+    + _RAREST
+    + _CLASSES
+    + """, rp AS (SELECT DISTINCT rep FROM sc) SELECT DISTINCT least(a.pos, b.pos) AS rep_a, greatest(a.pos, b.pos) AS rep_b
+      FROM rr a JOIN p b ON a.shingle = b.shingle AND a.pos <> b.pos WHERE a.rank <= 3 AND a.pos IN (SELECT rep FROM rp) AND b.pos IN (SELECT rep FROM rp)"""
+)
 def jn1_candidate_pairs(spark, sf_dir):
-    return du.candidate_pairs(shingled(spark, sf_dir))
+    """Candidate pairs between the representatives of equal shingle sets; ``jn1_members`` says which items each stands for."""
+    sets = shingled(spark, sf_dir)
+    return du.candidate_classes(sets, materialise(du.set_classes(sets), "classes"))
+
+
+@query(q.SHINGLES + _CLASSES + "SELECT rep, pos FROM sc")
+def jn1_members(spark, sf_dir):
+    return du.set_classes(du.shingle_sets(corpus(spark, sf_dir)))
 
 
 @query(q.SHINGLES + _NEAR + "SELECT pos_a, pos_b, round(similarity, 9) AS similarity FROM nd")
@@ -518,7 +539,9 @@ def jn2_near_pairs(spark, sf_dir):
     + ", pr AS (SELECT DISTINCT least(a.pos, b.pos) AS pos_a, greatest(a.pos, b.pos) AS pos_b FROM rr a JOIN p b ON a.shingle = b.shingle AND a.pos <> b.pos WHERE a.rank <= 3), en AS (SELECT pos_a AS pos FROM pr UNION ALL SELECT pos_b FROM pr) SELECT pos, count(*) AS candidates, count(*) > 400 AS over FROM en GROUP BY pos"
 )
 def topk1_candidate_ceiling(spark, sf_dir):
-    return du.ceiling_flags(du.candidate_pairs(shingled(spark, sf_dir)))
+    sets = shingled(spark, sf_dir)
+    classes = materialise(du.set_classes(sets), "classes")
+    return du.ceiling_flags(materialise(du.candidate_classes(sets, classes), "candidates"), classes)
 
 
 # -- order, samples, sets --------------------------------------------------------------------------
@@ -564,12 +587,25 @@ def set1_union(spark, sf_dir):
       st AS (SELECT nq, nc FROM n GROUP BY nq, nc HAVING count(*) > 1 AND count(DISTINCT nc[answer_index + 1]) > 1) SELECT pos FROM e UNION SELECT pos FROM n JOIN st USING (nq, nc) UNION SELECT pos_a FROM nd UNION SELECT pos_b FROM nd"""
 )
 def set2_affected(spark, sf_dir):
-    return du.affected_items(digested(spark, sf_dir)).select("pos")
+    return du.affected_items(materialise(corpus(spark, sf_dir), "items")).select("pos")
 
 
-@query("SELECT DISTINCT subject FROM subject_targets WHERE subject NOT IN (SELECT subject FROM items WHERE subject IS NOT NULL) ")
+@query(
+    q.CORPUS
+    + """, m AS (SELECT subject, count(*) FILTER (answer_index = 0) AS b, count(*) FILTER (answer_index = 1) AS v, count(*) AS n FROM c GROUP BY subject)
+      SELECT subject AS part, 4 * b > n AS baseline, 4 * v > n AS variant FROM m WHERE (4 * b > n) <> (4 * v > n)"""
+)
 def set4_difference(spark, sf_dir):
-    return table(spark, sf_dir, "subject_targets").select("subject").subtract(table(spark, sf_dir, "items").select("subject"))
+    """The difference of two judged tables: a subject counts as charged to a run if its favoured position holds more than a quarter of the keys."""
+    counted = corpus(spark, sf_dir).groupBy(F.col("subject").alias("part")).agg(F.count(F.lit(1)).alias("n"), *(F.count_if(F.col("answer_index") == k).alias(f"h{k}") for k in (0, 1)))
+    counted = materialise(counted, "favoured")
+
+    def run(k: int) -> DataFrame:
+        verdict = F.when(F.col(f"h{k}") * 4 > F.col("n"), st.ESTABLISHED).otherwise("p")
+        given = {"layer": F.lit("share"), "part": F.col("part"), "verdict": verdict}
+        return counted.select(*(given.get(f.name, F.lit(None).cast(f.dataType)).alias(f.name) for f in JUDGED))
+
+    return rp.charged_difference(run(0), run(1))
 
 
 # -- interventions, scoring, audit -----------------------------------------------------------------
@@ -606,7 +642,7 @@ def jn3_coalition_grid(spark, sf_dir):
 
 
 def _by_item(spark, sf_dir) -> DataFrame:
-    return au.coalition_outcomes(au.presented(corpus(spark, sf_dir), scoring.SimulatedScorer(SIMULATION), SEED))
+    return au.coalition_outcomes(au.presented(corpus(spark, sf_dir), SIMULATED, SEED))
 
 
 _OUT = q.outcomes(SEED, iv.PREFIX, _SIM_SQL)
@@ -614,12 +650,12 @@ _OUT = q.outcomes(SEED, iv.PREFIX, _SIM_SQL)
 
 @query(_OUT + "SELECT pos, mask, variant, correct FROM o")
 def sr1_outcomes(spark, sf_dir):
-    return au.presented(corpus(spark, sf_dir), scoring.SimulatedScorer(SIMULATION), SEED).select("pos", "mask", "variant", "correct")
+    return au.presented(corpus(spark, sf_dir), SIMULATED, SEED).select("pos", "mask", "variant", "correct")
 
 
 @query(_OUT + "SELECT count(*) AS lookups, count(DISTINCT (nq, nc)) AS misses, count(*) - count(DISTINCT (nq, nc)) AS hits FROM o")
 def ag21_cache_counters(spark, sf_dir):
-    return scoring.cache_counters(au.presented(corpus(spark, sf_dir), scoring.SimulatedScorer(SIMULATION), SEED))
+    return scoring.cache_counters(au.presented(corpus(spark, sf_dir), SIMULATED, SEED))
 
 
 @query(_OUT + "SELECT pos, mask, hits, variants, round(mean, 9) AS mean FROM b")
@@ -638,7 +674,7 @@ def ag17_total_drop(spark, sf_dir):
 
 
 def _sql_shares() -> str:
-    matrix = stats.shapley_matrix(3)
+    matrix = rs.shapley_weights(3)
     parts = [f"SELECT '{name}' AS player, round(sum({matrix[i].tolist()}[mask + 1] * accuracy), 9) AS share FROM a" for i, name in enumerate(iv.PLAYERS)]
     return " UNION ALL ".join(parts)
 
@@ -664,7 +700,7 @@ def au1_outcome_patterns(spark, sf_dir):
     )
 )
 def au4_inert_players(spark, sf_dir):
-    return au.inert_flags(_by_item(spark, sf_dir))
+    return au.inert_flags(au.outcome_patterns(_by_item(spark, sf_dir), 8))
 
 
 _BLIND = (
@@ -682,7 +718,7 @@ _BLIND = (
          count(*) FILTER (c = 0 AND t = 0) AS neither, round((count(*) FILTER (c = 0 AND t = 1) - count(*) FILTER (c = 1 AND t = 0))::DOUBLE / count(*), 9) AS delta FROM w"""
 )
 def ag16_paired_cells(spark, sf_dir):
-    return au.paired_cells(au.coalition_outcomes(au.blind_outcomes(corpus(spark, sf_dir), scoring.SimulatedScorer(SIMULATION))))
+    return au.paired_cells(au.coalition_outcomes(au.blind_outcomes(corpus(spark, sf_dir), SIMULATED)))
 
 
 @query(
@@ -722,23 +758,24 @@ def p4_items(spark, sf_dir):
 # -- composites: their resampled intervals have no SQL -----------------------------------------------
 
 
-@query("SELECT pos, bit_count((pos % 8)::INT)::INT AS players FROM items")
+@query(
+    "SELECT mask, i AS player, bit_count(mask)::INT AS players, round(CASE WHEN (mask >> i) & 1 = 0 THEN 1 ELSE -1 END / (4 * (CASE bit_count(mask) - ((mask >> i) & 1) WHEN 1 THEN 3 WHEN 2 THEN 3 ELSE 1 END))::DOUBLE, 9) AS weight"
+    " FROM (SELECT unnest(range(16))::INT AS mask) CROSS JOIN (SELECT unnest(range(4))::INT AS i)"
+)
 def sc30_popcount(spark, sf_dir):
-    return table(spark, sf_dir, "items").select("pos", F.bit_count((F.col("pos") % 8).cast("int")).alias("players"))
+    """Coalition sizes and the Shapley weights that follow from them, for four players."""
+    weights = rs.shapley_weights(4)
+    rows = [(mask, i, float(weights[i, mask])) for mask in range(16) for i in range(4)]
+    return spark.createDataFrame(rows, "mask int, player int, weight double").select("mask", "player", F.bit_count("mask").alias("players"), _r("weight", "weight"))
 
 
 @query()
 def dt6_findings(spark, sf_dir):
-    """(detector, point, ci_low, ci_high, p_value, adjusted_p, verdict, mde, detail): the corpus layer over all items."""
-    report = dt.run_detectors(corpus(spark, sf_dir), SEED, Gate())
-    rows = [(f.detector, f.estimate.point, f.estimate.ci_low, f.estimate.ci_high, f.estimate.p_value, f.adjusted_p, f.verdict.value, f.mde, f.detail) for f in report.findings]
-    return spark.createDataFrame(rows, "detector string, point double, ci_low double, ci_high double, p_value double, adjusted_p double, verdict string, mde double, detail string")
+    """The judged rows of the corpus layer over all items."""
+    return spark.createDataFrame(list(dt.run_detectors(corpus(spark, sf_dir), SEED, Rule()).rows), JUDGED)
 
 
 @query()
 def au6_components(spark, sf_dir):
-    """(part, point, ci_low, ci_high, p_value, verdict): the attribution of a simulated model's drop over all items, and its blind score."""
-    report = au.run_audit(corpus(spark, sf_dir), "items", scoring.SimulatedScorer(SIMULATION), AuditConfig(SEED, Gate(draws=2000), corpus_layer=False))
-    rows = [(c.name, c.estimate, c.verdict.value) for c in report.components] + [("blind", report.blind_accuracy, None)]
-    flat = [(n, e.point, e.ci_low, e.ci_high, e.p_value, v) for n, e, v in rows]
-    return spark.createDataFrame(flat, "part string, point double, ci_low double, ci_high double, p_value double, verdict string")
+    """All judged rows of the whole audit of a simulated model over all items: shares, blind score and corpus layer."""
+    return au.run_audit(corpus(spark, sf_dir), "items", SIMULATED, SEED).table(spark)

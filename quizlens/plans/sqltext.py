@@ -44,24 +44,19 @@ d AS (SELECT shingle, count(*) AS df FROM p GROUP BY shingle)"""
 )
 
 
-def draws(seed: int, name: str = "stronger_distractor", attempts: int = 4) -> str:
-    """CTEs up to ``k``: the corpus in normal form with its swapped options."""
+def draws(seed: int, name: str = "stronger_distractor") -> str:
+    """CTEs up to ``k``: the corpus in normal form with its swapped options. Each item meets every answer of its subject."""
     return (
         NORMAL
         + f""", pool AS (
-  SELECT pos AS pool_pos, subject, choices[answer_index + 1] AS answer, {norm('choices[answer_index + 1]')} AS nanswer,
-    row_number() OVER (PARTITION BY subject ORDER BY pos) - 1 AS rank, count(*) OVER (PARTITION BY subject) AS size FROM c
-), size AS (SELECT subject, max(size) AS size FROM pool GROUP BY subject),
-t AS (
-  SELECT n.pos, n.nc, n.subject, a.a, floor({uniform(seed, name, 'n.pos', 'a.a')} * size.size)::BIGINT AS rank
-  FROM n JOIN size USING (subject) CROSS JOIN (SELECT unnest(range({attempts})) AS a) a
-), hit AS (
-  SELECT t.pos, arg_min(pool.answer, t.a) AS distractor, arg_min(pool.nanswer, t.a) AS ndistractor
-  FROM t JOIN pool ON t.subject = pool.subject AND t.rank = pool.rank WHERE NOT list_contains(t.nc, pool.nanswer) GROUP BY t.pos
-), rest AS (
-  SELECT n.pos, arg_min(pool.answer, sha256('{seed}|{name}|' || n.pos || '|' || pool_pos)) AS distractor, arg_min(pool.nanswer, sha256('{seed}|{name}|' || n.pos || '|' || pool_pos)) AS ndistractor
-  FROM n JOIN pool ON n.subject = pool.subject WHERE n.pos NOT IN (SELECT pos FROM hit) AND NOT list_contains(n.nc, pool.nanswer) GROUP BY n.pos
-), drawn AS (SELECT * FROM hit UNION ALL SELECT * FROM rest),
+  SELECT subject, nc[answer_index + 1] AS nanswer, min(choices[answer_index + 1]) AS answer, count(*) AS times FROM n GROUP BY ALL
+), usable AS (
+  SELECT n.pos, answer, nanswer, times, sum(times) OVER (PARTITION BY n.pos ORDER BY md5(nanswer)) AS upto, sum(times) OVER (PARTITION BY n.pos) AS size
+  FROM n JOIN pool USING (subject) WHERE NOT list_contains(n.nc, nanswer)
+), drawn AS (
+  SELECT pos, answer AS distractor, nanswer AS ndistractor FROM usable
+  WHERE floor({uniform(seed, name, 'pos', 0)} * size) >= upto - times AND floor({uniform(seed, name, 'pos', 0)} * size) < upto
+),
 x AS (
   SELECT n.*, distractor, ndistractor, floor({uniform(seed, name, 'n.pos', 99)} * (len(choices) - 1))::INT AS wrong FROM n LEFT JOIN drawn ON n.pos = drawn.pos
 ), k AS (

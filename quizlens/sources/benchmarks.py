@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import csv
 import io
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import reduce
 from pathlib import PurePosixPath
 
@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quizlens.functions.text import label_index
-from quizlens.model import ITEM_SCHEMA, Item
+from quizlens.judgement import ITEM_SCHEMA
 
 MIN_CSV_COLUMNS = 4
 
@@ -260,11 +260,12 @@ def read_mmlu_parquet(spark: SparkSession, path: str) -> DataFrame:
     return _finished(_refuse(parsed.withColumn("fault", _first_fault((F.col("question").isNull(), "the question is missing"), *_item_faults()))))
 
 
-def from_items(spark: SparkSession, items: list[Item]) -> DataFrame:
-    """A corpus of driver-side values, in their order."""
-    if len({i.item_id for i in items}) != len(items) or not items:
-        raise CorpusError("a corpus needs items with distinct ids")
-    return spark.createDataFrame([(k, i.item_id, i.question, list(i.choices), i.answer_index, i.subject) for k, i in enumerate(items)], ITEM_SCHEMA)
+def from_items(spark: SparkSession, items: Iterable[tuple]) -> DataFrame:
+    """A corpus of driver-side rows (id, question, choices, answer_index, subject), in their order; held to the same rules as files."""
+    rows = [(k, i, q, list(c), a, s) for k, (i, q, c, a, s) in enumerate(items)]
+    frame = spark.createDataFrame(rows, ITEM_SCHEMA).withColumns({"file": F.lit("items"), "line_no": F.col("pos") + 1})
+    checked = frame.drop("pos").withColumn("fault", _first_fault((F.col("question").isNull(), "the question is missing"), *_item_faults()))
+    return _finished(_refuse(checked))
 
 
 def union_corpora(corpora: list[DataFrame]) -> DataFrame:
