@@ -480,7 +480,15 @@ def ag19_subject_sizes(spark, sf_dir):
     return sampling.subject_sizes(corpus(spark, sf_dir))
 
 
-@query()
+_SIZED = lambda x: f"length({x}) || ':' || {x}"
+
+
+@query(
+    q.NORMAL
+    + f""", d AS (SELECT pos, sha256(item_id || '|sha256:' || sha256('item' || chr(31) || {_SIZED('nq')} || chr(31)
+        || array_to_string(list_transform(nc, lambda x: {_SIZED('x')}), chr(30)) || chr(31) || answer_index)) AS d FROM n)
+      SELECT floor(pos / 100000)::BIGINT AS range, count(*) AS n, sha256(string_agg(d, '' ORDER BY pos)) AS digest FROM d GROUP BY ALL"""
+)
 def ag22_corpus_hash(spark, sf_dir):
     return au.range_digests(corpus(spark, sf_dir))
 
