@@ -173,6 +173,21 @@ s AS (SELECT term, count(*) AS df, sum(tf)::DOUBLE AS total FROM j GROUP BY term
 z AS (SELECT sum(pow(n, {distinct.ALPHA})) AS z FROM n)
 """
 
+_NEAR = r"""
+WITH t AS (
+  SELECT pos, list_concat(regexp_extract_all(lower(coalesce(question, '')), '[a-z0-9]+(?:[-''][a-z0-9]+)*'),
+    flatten(list_transform(choices, lambda x: regexp_extract_all(lower(x), '[a-z0-9]+(?:[-''][a-z0-9]+)*')))) AS t FROM items
+), s AS (SELECT pos, list_distinct(list_transform(range(1, len(t) - 1), lambda i: array_to_string(t[i:i+2], ' '))) AS s FROM t WHERE len(t) >= 3),
+p AS (SELECT pos, len(s) AS n, unnest(s) AS shingle FROM s),
+i AS (
+  SELECT a.pos AS pos_a, b.pos AS pos_b FROM p a JOIN p b ON a.shingle = b.shingle AND a.pos < b.pos GROUP BY a.pos, b.pos, a.n, b.n
+  HAVING 10 * count(*) >= 7 * (a.n + b.n - count(*))
+)"""
+
+_SPANS = """
+WITH g AS (SELECT doc_id, i, md5(substring(text, i, 160)) AS h FROM (SELECT doc_id, text, unnest(range(1, length(text) - 158)) AS i FROM documents WHERE length(text) >= 160)),
+m AS (SELECT h FROM g GROUP BY h HAVING min(doc_id) <> max(doc_id)), k AS (SELECT g.* FROM g JOIN m USING (h))"""
+
 
 def oracle_sql() -> dict[str, str]:
     return {
@@ -191,19 +206,21 @@ def oracle_sql() -> dict[str, str]:
         "p6_scores": _TERMS
         + f"""SELECT pos, term, tf, df, round(CASE WHEN df > 1 THEN greatest(log2(tf * z / (total * pow(n, {distinct.ALPHA}))), 0.0) ELSE 0.0 END, 6) AS score
             FROM j JOIN s USING (term) JOIN n USING (pos) CROSS JOIN z""",
-        "p7_found": r"""
-            WITH t AS (
-              SELECT pos, list_concat(regexp_extract_all(lower(coalesce(question, '')), '[a-z0-9]+(?:[-''][a-z0-9]+)*'),
-                flatten(list_transform(choices, lambda x: regexp_extract_all(lower(x), '[a-z0-9]+(?:[-''][a-z0-9]+)*')))) AS t FROM items
-            ), s AS (SELECT pos, list_distinct(list_transform(range(1, len(t) - 1), lambda i: array_to_string(t[i:i+2], ' '))) AS s FROM t WHERE len(t) >= 3),
-            p AS (SELECT pos, len(s) AS n, unnest(s) AS shingle FROM s),
-            i AS (SELECT a.pos AS pos_a, b.pos AS pos_b, a.n AS na, b.n AS nb, count(*) AS c FROM p a JOIN p b ON a.shingle = b.shingle AND a.pos < b.pos GROUP BY ALL)
-            SELECT pos_a, pos_b FROM i WHERE 10 * c >= 7 * (na + nb - c)""",
-        "p10_found": """
-            WITH g AS (SELECT doc_id, text, unnest(range(1, length(text) - 158)) AS i FROM documents WHERE length(text) >= 160),
-            h AS (SELECT DISTINCT doc_id, md5(substring(text, i, 160)) AS h FROM g),
-            m AS (SELECT h FROM h GROUP BY h HAVING count(*) > 1), k AS (SELECT h.* FROM h JOIN m USING (h))
-            SELECT DISTINCT a.doc_id AS doc_a, b.doc_id AS doc_b FROM k a JOIN k b ON a.h = b.h AND a.doc_id < b.doc_id""",
+        "p7_found": _NEAR + "SELECT pos_a, pos_b FROM i",
+        # classes of equal sets, and what can be reached from each row over similar rows
+        "p7_groups": "WITH RECURSIVE" + _NEAR.lstrip().removeprefix("WITH") + """,
+            e AS (SELECT pos_a AS a, pos_b AS b FROM i UNION ALL SELECT pos_b, pos_a FROM i),
+            r AS (SELECT pos, min(pos) OVER (PARTITION BY list_sort(s)) AS rep FROM s),
+            l AS (SELECT e.a AS pos, count(DISTINCT y.rep) FILTER (y.rep <> x.rep) AS n FROM e JOIN r x ON x.pos = e.a JOIN r y ON y.pos = e.b GROUP BY e.a),
+            w(pos, root) AS (SELECT pos, pos FROM items UNION SELECT e.b, w.root FROM w JOIN e ON e.a = w.pos)
+            SELECT pos, min(root) AS group_id, coalesce(any_value(l.n), 0) AS n_links FROM w LEFT JOIN l USING (pos) GROUP BY pos""",
+        "p10_found": _SPANS
+        + """, h AS (SELECT DISTINCT doc_id, h FROM k) SELECT DISTINCT a.doc_id AS doc_a, b.doc_id AS doc_b FROM h a JOIN h b ON a.h = b.h AND a.doc_id < b.doc_id""",
+        "p10_coverage": _SPANS
+        + """, c AS (SELECT doc_id, least(160, coalesce(lead(i) OVER (PARTITION BY doc_id ORDER BY i) - i, 160)) AS n FROM k),
+            t AS (SELECT doc_id, sum(n)::BIGINT AS n FROM c GROUP BY doc_id)
+            SELECT doc_id, coalesce(length(text), 0) AS n_chars, coalesce(n, 0) AS shared_chars, round(coalesce(coalesce(n, 0)::DOUBLE / nullif(length(text), 0), 0), 6) AS share
+            FROM documents LEFT JOIN t USING (doc_id)""",
         # the round trip through the ids gives the text back; null and empty give an empty text
         "p8_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
     }
