@@ -261,8 +261,8 @@ def read_mmlu_parquet(spark: SparkSession, path: str) -> DataFrame:
 
 
 def from_items(spark: SparkSession, items: Iterable[tuple]) -> DataFrame:
-    """A corpus of driver-side rows (id, question, choices, answer_index, subject), in their order; held to the same rules as files."""
-    rows = [(k, i, q, list(c), a, s) for k, (i, q, c, a, s) in enumerate(items)]
+    """A corpus of driver-side rows (id, question, choices, answer_index[, subject]), in their order; held to the same rules as files."""
+    rows = [(k, i, q, list(c), a, *(subject or [""])) for k, (i, q, c, a, *subject) in enumerate(items)]
     frame = spark.createDataFrame(rows, ITEM_SCHEMA).withColumns({"file": F.lit("items"), "line_no": F.col("pos") + 1})
     checked = frame.drop("pos").withColumn("fault", _first_fault((F.col("question").isNull(), "the question is missing"), *_item_faults()))
     return _finished(_refuse(checked))

@@ -2,9 +2,8 @@ import json
 
 import pytest
 
-from quizlens.model import Item
 from quizlens.sources import benchmarks as b
-from quizlens.sources.synthetic import CorpusSpec, generate, vocabulary
+from quizlens.sources.synthetic import generate, planted, vocabulary
 
 
 def write(path, *lines):
@@ -133,21 +132,21 @@ def test_parquet_layouts(spark, tmp_path):
 
 
 def test_from_items_and_union(spark):
-    one = b.from_items(spark, [Item("a", "q", ("x", "y"), 0), Item("b", "q", ("x", "y"), 1, "s")])
-    two = b.from_items(spark, [Item("c", "q", ("x", "y"), 0)])
+    one = b.from_items(spark, [("a", "q", ("x", "y"), 0), ("b", "q", ("x", "y"), 1, "s")])
+    two = b.from_items(spark, [("c", "q", ("x", "y"), 0)])
     assert [(r.pos, r.item_id) for r in b.union_corpora([one, two]).orderBy("pos").collect()] == [(0, "a"), (1, "b"), (2, "c")]
-    for bad in (lambda: Item("", "q", ("x", "y"), 0), lambda: Item("a", "q", ("x",), 0), lambda: Item("a", "q", ("x", "y"), 2)):
+    for bad in (("", "q", ("x", "y"), 0), ("a", "q", ("x",), 0), ("a", "q", ("x", "y"), 2)):
         with pytest.raises(ValueError):
-            bad()
+            b.from_items(spark, [bad])
     assert set(b.LOADERS) == {"canonical", "mmlu", "mmlu-dir", "mmlu-parquet", "arc", "arc-parquet", "hellaswag", "truthfulqa"}
 
 
 def test_synthetic_does_not_depend_on_the_partitioning(spark):
-    spec = CorpusSpec(n_items=50, seed=5, duplicate_rate=0.1, marker_rate=0.5, longest_rate=0.3, position_bias=0.4)
-    a = generate(spark, spec).collect()
-    assert sorted(a) == sorted(generate(spark, spec).repartition(7).collect())
+    rates = {"repeat": 0.1, "marker": 0.5, "longest": 0.3, "position": 0.4}
+    a = generate(spark, 50, 5, **rates).collect()
+    assert sorted(a) == sorted(generate(spark, 50, 5, **rates).repartition(7).collect())
     assert len(a) == 55 and {len(w) for w in vocabulary()} == {7} and len(set(vocabulary())) == len(vocabulary())
-    assert spec.expected_position_share == pytest.approx(0.55)
-    for bad in ({"n_items": 0}, {"n_choices": 1}, {"position_bias": 2}, {"biased_position": 4}):
+    assert planted(0.4, 4) == pytest.approx(0.55)
+    for bad in ({"n": 0}, {"n": 9, "choices": 1}, {"n": 9, "position": 2.0}, {"n": 9, "favoured": 4}):
         with pytest.raises(ValueError):
-            CorpusSpec(**bad)
+            generate(spark, **bad)
