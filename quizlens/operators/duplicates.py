@@ -129,11 +129,9 @@ def _linked_classes(sets: DataFrame, num: int, den: int) -> tuple[DataFrame, Dat
     classes = sets.join(members.filter("rep = pos").select("pos"), "pos", "left_semi").select(F.col("pos").alias("rep"), "set")
     rows = classes.select("rep", F.size("set").alias("n"), F.explode("set").alias("shingle")).join(shingle_frequency(classes.withColumnRenamed("set", "shingles")).filter("df > 1"), "shingle")
     # shingles of one item only cannot match, but they come first in the order and use up the prefix
-    order = Window.partitionBy("rep").orderBy("df", "shingle")
-    seen = Window.partitionBy("rep")
-    ranked = rows.withColumns({"shared": F.count(F.lit(1)).over(seen), "rank": F.row_number().over(order)})
-    prefix = ranked.filter(F.col("rank") + F.col("n") - F.col("shared") <= F.col("n") - _needed(F.col("n"), num, den) + 1)
-    prefix = materialise(prefix.select("shingle", "rep", "n"), "prefixes")
+    ordered = rows.groupBy("rep", "n").agg(F.array_sort(F.collect_list(F.struct("df", "shingle"))).alias("by_df"))  # the shingles of one item
+    kept = F.greatest(F.lit(0), F.size("by_df") - _needed(F.col("n"), num, den) + 1)
+    prefix = materialise(ordered.select("rep", "n", F.explode(F.slice("by_df", F.lit(1), kept)).alias("s")).select("s.shingle", "rep", "n"), "prefixes")
     a, b = (prefix.select("shingle", F.col("rep").alias(f"r{x}"), F.col("n").alias(f"n{x}")) for x in "ab")
     pairs = a.join(b, "shingle").filter(f"ra < rb and na * {den} >= nb * {num} and nb * {den} >= na * {num}").select("ra", "rb").distinct()
     both = pairs.join(classes.withColumnsRenamed({"rep": "ra", "set": "sa"}), "ra").join(classes.withColumnsRenamed({"rep": "rb", "set": "sb"}), "rb")
